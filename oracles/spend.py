@@ -107,8 +107,7 @@ LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY provider_name, sku_id ORDER
    SELECT provider_name, {SKU} AS sku_id, charge_month, sum(cost) AS c, sum(consumed_quantity) AS q
    FROM pbill GROUP BY ALL)) p
  ON p.provider_name = m.provider_name AND p.sku_id = m.sku_id AND p.i = m.i - 1""",
-        "net_cost prev_cost cost_delta",
-        r="consumed_quantity unit_rate qty_delta volume_effect rate_effect"),
+        "net_cost prev_cost cost_delta"),
     "g17_commitment_summary_month": fin("""
 SELECT provider_name, charge_month, commitment_discount_type, commitment_discount_category,
   commitment_discount_status, sum(cost) AS effective_cost, sum(billed_cost) AS billed_cost,

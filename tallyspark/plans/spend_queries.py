@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.operators import silver, spend
-from tallyspark.plans.registry import query
+from tallyspark.plans.registry import EXACT, query
 from tallyspark.sources import driver_tables as dt
 
 _CORE = ("provider_name", "service_name", "charge_period_start", "effective_cost", "charge_category")
@@ -61,7 +61,8 @@ VIEWS: dict[str, tuple] = {
 
 
 def _register(name: str, view, columns: tuple[str, ...]) -> None:
-    query(name)(lambda spark, sf_dir: view(bill(spark, sf_dir, *columns)))
+    exact = EXACT if name == "g16_sku_month_over_month" else None
+    query(name, exact)(lambda spark, sf_dir: view(bill(spark, sf_dir, *columns)))
 
 
 for _name, (_view, _columns) in VIEWS.items():
