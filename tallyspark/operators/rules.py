@@ -57,19 +57,19 @@ def unpack_cause_detail(records: DataFrame) -> DataFrame:
 
     The JSON text is parsed once per row. Whole numbers written as '3.0' still read as 3.
     """
-    parsed = records.withColumn("_cause", F.from_json("cause_detail", "map<string,string>"))
-    out = [F.col(c) for c in records.columns if c not in ("charge_month",)]
+    keys = [(kind, key) for kind, names in CAUSE_KEYS.items() for key in names]
+    # Text fields of one struct: a field read is a slot access, a map read would search its keys.
+    shape = ", ".join(f"{key} string" for _, key in keys)
+    parsed = records.withColumn("_cause", F.from_json("cause_detail", shape))
+    out = [F.col(c) for c in records.columns if c != "charge_month"]
     out.append(month_date("charge_month").alias("charge_month"))
-    for kind, keys in CAUSE_KEYS.items():
-        for key in keys:
-            text = F.try_element_at("_cause", F.lit(key))
-            if kind == "string":
-                value = text
-            elif kind == "bigint":
-                value = F.coalesce(text.try_cast("bigint"), F.round(text.try_cast("double")).try_cast("bigint"))
-            else:
-                value = text.try_cast(kind)
-            out.append(value.alias(key))
+    for kind, key in keys:
+        text = F.col(f"_cause.{key}")
+        if kind == "bigint":
+            text = F.coalesce(text.try_cast("bigint"), F.round(text.try_cast("double")).try_cast("bigint"))
+        elif kind != "string":
+            text = text.try_cast(kind)
+        out.append(text.alias(key))
     return parsed.select(*out)
 
 
@@ -484,12 +484,13 @@ def _minutes_detail(column: str, limit: str, verb: str, absent: str) -> Callable
 
 
 def _tag_rule(category: str, kind: str) -> PolicyRule:
-    tags = _c("tag_count")
-    return PolicyRule(
-        category, kind, lambda t: tags > 0,
-        lambda t: F.when(tags.isNull(), "tag telemetry unavailable")
-        .when(tags == 0, "no tags set").otherwise(_txt(tags.cast("string"), " tag(s) set")),
-        lambda: tags.isNull())
+    def text(t: dict) -> Column:
+        tags = _c("tag_count")
+        return (F.when(tags.isNull(), "tag telemetry unavailable").when(tags == 0, "no tags set")
+                .otherwise(_txt(tags.cast("string"), " tag(s) set")))
+
+    return PolicyRule(category, kind, lambda t: _c("tag_count") > 0, text,
+                      lambda: _c("tag_count").isNull())
 
 
 POLICY_RULES: tuple[PolicyRule, ...] = (
@@ -527,16 +528,21 @@ BLOCKED_POLICY_RULES = (
 
 def _flag_rule(category: str, column: str, want: bool, texts: tuple[str, str, str]) -> PolicyRule:
     absent, good, bad = texts
-    value = _c(column)
-    ok = value if want else ~value
+
+    def ok(t: dict) -> Column:
+        return _c(column) if want else ~_c(column)
+
     return PolicyRule(
-        category, "redshift_cluster", lambda t: ok,
-        lambda t: F.when(value.isNull(), absent).when(ok, good).otherwise(bad),
-        lambda: value.isNull())
+        category, "redshift_cluster", ok,
+        lambda t: F.when(_c(column).isNull(), absent).when(ok(t), good).otherwise(bad),
+        lambda: _c(column).isNull())
+
+
+def _retained() -> Column:
+    return _c("automated_snapshot_retention_days")
 
 
 def _snapshot_rules() -> tuple[PolicyRule, ...]:
-    days = _c("automated_snapshot_retention_days")
     return (
         _flag_rule("redshift_encryption", "encrypted", True, (
             "encryption telemetry unavailable", "encryption enabled", "cluster is not encrypted")),
@@ -548,10 +554,10 @@ def _snapshot_rules() -> tuple[PolicyRule, ...]:
             "enhanced VPC routing disabled")),
         PolicyRule(
             "redshift_snapshot_retention", "redshift_cluster",
-            lambda t: days >= t["min_redshift_snapshot_retention_days"],
-            lambda t: _or(_txt(days.cast("string"), " day(s) retained"),
+            lambda t: _retained() >= t["min_redshift_snapshot_retention_days"],
+            lambda t: _or(_txt(_retained().cast("string"), " day(s) retained"),
                           "snapshot-retention telemetry unavailable"),
-            lambda: days.isNull(), ("min_redshift_snapshot_retention_days",)),
+            lambda: _retained().isNull(), ("min_redshift_snapshot_retention_days",)),
         _flag_rule("redshift_require_ssl", "require_ssl", True, (
             "require_ssl telemetry unavailable", "require_ssl=true", "require_ssl=false")),
         _tag_rule("redshift_cluster_tagging", "redshift_cluster"),

@@ -59,7 +59,7 @@ def _g33(spark, sf_dir):
     return efficiency.waste_resolution_month(rules.waste_record(records), records)
 
 
-@query("g34_utilization_entity_month", {"cost_per_native_unit": 6})
+@query("g34_utilization_entity_month")
 def _g34(spark, sf_dir):
     records = entities(spark, sf_dir)
     return efficiency.utilization_entity_month(records, rules.waste_record(records))

@@ -288,10 +288,10 @@ SELECT 'ep-' || CAST(user_id % 30 AS STRING) AS endpoint_id,
   CAST(NULL AS DOUBLE) AS min_provisioned_throughput, CAST(NULL AS DOUBLE) AS max_provisioned_throughput,
   count(*) AS request_count,
   CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS error_request_count,
-  CAST(sum(CAST(value * 100 AS BIGINT)) AS BIGINT) AS input_tokens,
-  CAST(sum(CAST(value * 40 AS BIGINT)) AS BIGINT) AS output_tokens,
-  CAST(sum(CASE WHEN event_type = 'error' THEN CAST(value * 100 AS BIGINT) ELSE 0 END) AS BIGINT) AS error_input_tokens,
-  CAST(0 AS BIGINT) AS error_output_tokens, CAST(sum(CAST(value * 10 AS BIGINT)) AS BIGINT) AS total_duration_ms,
+  CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS input_tokens,
+  CAST(sum(CAST(round(value * 40) AS BIGINT)) AS BIGINT) AS output_tokens,
+  CAST(sum(CASE WHEN event_type = 'error' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS error_input_tokens,
+  CAST(0 AS BIGINT) AS error_output_tokens, CAST(sum(CAST(round(value * 10) AS BIGINT)) AS BIGINT) AS total_duration_ms,
   'databricks' AS x_source_connector, 'Databricks' AS provider_name,
   CASE event_id % 3 WHEN 0 THEN '1997-03' WHEN 1 THEN '1997-04' ELSE '1997-05' END AS charge_month
 FROM events
