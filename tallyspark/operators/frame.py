@@ -67,3 +67,54 @@ def latest_by_key(df: DataFrame, keys: list[str], version: str, columns: list[st
     rank = F.struct(F.col(version), payload)
     newest = F.max_by(payload, rank)
     return df.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*")
+
+
+# A group this small is ranked whole; larger ones are bracketed by a sketch first.
+_WHOLE_GROUP = 20_000
+_BRACKET = 4e-4
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Exact interpolated percentiles per key without gathering a group's rows in one task.
+
+    A mergeable quantile sketch (rank error at most n/10000) brackets each target rank; only
+    values inside the bracket are counted per distinct value and ranked, everything below is
+    a plain count. Groups too small for the sketch bound keep all their values.
+    """
+    from pyspark.sql import Window
+
+    v = F.col(value)
+    rows = df.where(v.isNotNull()).select(*keys, v.cast("double").alias("_v"))
+    brackets = []
+    for name, p in points.items():
+        for side, q in (("lo", max(p - _BRACKET, 0.0)), ("hi", min(p + _BRACKET, 1.0))):
+            brackets.append(F.percentile_approx("_v", q, 10_000).alias(f"_{side}_{name}"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *brackets)
+    small = F.col("_n") <= _WHOLE_GROUP
+    joined = rows.join(sizes, keys) if keys else rows.crossJoin(broadcast_single(sizes))
+    out = None
+    for name, p in points.items():
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        # Values under the bracket collapse to one counted entry.
+        slot = F.when(~small & (F.col("_v") < lo), F.lit(None).cast("double")).otherwise(F.col("_v"))
+        counted = (
+            joined.where(small | (F.col("_v") <= hi))
+            .groupBy(*keys, "_n", slot.alias("_v"))
+            .agg(F.count("*").alias("_c"))
+        )
+        w = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+        upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        target = F.lit(p) * (F.col("_n") - 1)
+        low, high = F.floor(target), F.ceil(target)
+        ends = counted.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_c"))
+
+        def at(rank: Column) -> Column:
+            return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+
+        frac = F.max(target - low)
+        result = ends.groupBy(*keys).agg((at(low) + (at(high) - at(low)) * frac).alias(name))
+        if out is None:
+            out = result
+        else:
+            out = out.join(result, keys) if keys else out.crossJoin(broadcast_single(result))
+    return out

@@ -238,6 +238,8 @@ _CAUSE_KEYS: dict[str, tuple[str, str]] = {
     "auto_stop_minutes": ("bigint", "CASE WHEN h % 5 <> 0 THEN h % 50 END"),
 }
 
+_BYTE_KEYS = ("spilled_bytes", "min_local_disk_free_bytes", "network_bytes")
+
 _EFF_GROUPED = f"""
 SELECT l_suppkey AS sk, substr(CAST(CAST(l_shipdate AS DATE) AS STRING), 1, 7) AS charge_month,
   l_suppkey * 7 + max(year(l_shipdate) * 12 + month(l_shipdate)) AS h,
@@ -255,7 +257,7 @@ SELECT CASE sk % 9 WHEN 0 THEN 'job' WHEN 1 THEN 'interactive' WHEN 2 THEN 'sql_
     WHEN 2 THEN '0a1b2c3d-0000-4000-8000-00000000000' || CAST(sk % 3 AS STRING)
     WHEN 3 THEN ' Alice' || CAST(sk % 5 AS STRING) ELSE 'alice' || CAST(sk % 5 AS STRING) END AS owner_user,
   CASE h % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Apollo' WHEN 2 THEN 'apollo ' ELSE 'gemini' END AS owner_project,
-  billed_cost, qty AS native_quantity, CASE h % 3 WHEN 0 THEN ' DBU' ELSE 'dbu' END AS native_unit,
+  billed_cost, qty * 1001 AS native_quantity, CASE h % 3 WHEN 0 THEN ' DBU' ELSE 'dbu' END AS native_unit,
   CASE h % 6 WHEN 0 THEN CAST(NULL AS DOUBLE) WHEN 1 THEN CAST(disc % 20 AS DOUBLE) WHEN 2 THEN CAST(100 AS DOUBLE)
     ELSE CAST(disc % 97 AS DOUBLE) + CAST(0.5 AS DOUBLE) END AS utilization_pct,
   CASE h % 8 WHEN 0 THEN CAST(0 AS BIGINT) WHEN 1 THEN CAST(NULL AS BIGINT) ELSE n END AS activity_count,
@@ -396,5 +398,7 @@ def efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     typed = plane(spark, sf_dir, "efficiency_typed")
-    detail = F.to_json(F.struct(*[F.col(k) for k in _CAUSE_KEYS]))
+    # Byte counts travel as whole numbers.
+    detail = F.to_json(F.struct(*[
+        F.col(k).cast("bigint").alias(k) if k in _BYTE_KEYS else F.col(k) for k in _CAUSE_KEYS]))
     return typed.withColumn("cause_detail", detail).drop("h", "sk", *_CAUSE_KEYS)
