@@ -24,10 +24,16 @@ SELECT pbill.*, k.tag_key, json_extract_string(tags, '$."' || k.tag_key || '"')
 FROM pbill, unnest(json_keys(tags)) AS k(tag_key)"""
 
 
-def add(name: str, sql: str) -> None:
+# Complete statements that bring their own inputs.
+CLOSED: set[str] = set()
+
+
+def add(name: str, sql: str, closed: bool = False) -> None:
     if name in CTES:
         raise ValueError(name)
     CTES[name] = sql
+    if closed:
+        CLOSED.add(name)
 
 
 def with_ctes(body: str) -> str:
@@ -41,6 +47,9 @@ def with_ctes(body: str) -> str:
 
     def visit_name(name: str, sql: str) -> None:
         seen.add(name)
+        if name in CLOSED:
+            order.append(name)
+            return
         for dep, dep_sql in CTES.items():
             if dep != name and dep not in order and dep not in seen and re.search(rf"\b{dep}\b", sql):
                 visit_name(dep, dep_sql)

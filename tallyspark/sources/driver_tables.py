@@ -349,6 +349,17 @@ SELECT 'cl-' || CAST(s_suppkey AS STRING) AS cluster_id,
   CASE s_suppkey % 2 WHEN 0 THEN '2001-05' ELSE '2001-06' END AS snapshot_month
 FROM supplier"""
 
+_TURNS = """
+SELECT 't' || CAST(event_id AS STRING) AS turn_id, 's' || CAST(user_id AS STRING) AS session_id, 'm' || CAST(user_id % 3 AS STRING) AS model,
+  event_id % 400 AS total_tokens, event_id % 5 AS tool_call_count,
+  CASE WHEN event_id % 9 <> 0 THEN CAST(value AS DOUBLE) END AS duration_ms,
+  CAST(event_id % 700 AS DOUBLE) AS plan_ms, CAST(user_id % 90 AS DOUBLE) AS explore_ms,
+  CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 300 AS DOUBLE) END AS execute_ms, CAST(user_id AS DOUBLE) AS synthesize_ms,
+  CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'clarify' ELSE 'answer' END AS outcome,
+  CASE event_id % 5 WHEN 0 THEN 'model' WHEN 1 THEN 'caption' WHEN 2 THEN 'summary_spec' WHEN 3 THEN 'deterministic' END AS answer_source,
+  CASE event_id % 3 WHEN 0 THEN 'deterministic' WHEN 1 THEN 'model' END AS route
+FROM events"""
+
 # plane -> SELECT over base tables and earlier planes
 PLANES: dict[str, str] = {
     "efficiency_grouped": _EFF_GROUPED,
@@ -359,6 +370,7 @@ PLANES: dict[str, str] = {
     "compute_instance": _COMPUTE,
     "driver_health": _DRIVERS,
     "policy_config": _POLICY,
+    "turn_log": _TURNS,
 }
 
 
