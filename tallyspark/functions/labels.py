@@ -183,7 +183,7 @@ def parse_storage_url(url: Column) -> dict[str, Column]:
     )
     rest = F.regexp_extract(raw, "(?s)://(.*)$", 1)
     bucket = F.when(has_authority, F.nullif(F.regexp_extract(rest, "(?s)^([^/]*)", 1), F.lit("")))
-    path = F.trim(F.lit("/"), F.regexp_extract(rest, "(?s)^[^/]*/(.*)$", 1))
+    path = F.trim(F.regexp_extract(rest, "(?s)^[^/]*/(.*)$", 1), F.lit("/"))
     return {
         "scheme": F.when(~has_authority & (scheme == ""), "other").otherwise(scheme),
         "cloud_provider_name": F.when(has_authority, lookup(scheme, STORAGE_CLOUDS)),
