@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+from pyspark.sql.types import StructField, StructType
 
+_TYPES = {
+    "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(),
+    "double": T.DoubleType(), "bigint": T.LongType(), "decimal(20,6)": T.DecimalType(20, 6),
+}
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+
+def _schema(columns: str) -> StructType:
+    """'name type' pairs; needs no running session, so modules can be imported before one exists."""
+    pairs = [c.split() for c in columns.replace("(20,6)", "(20;6)").replace("\n", " ").split(",")]
+    return StructType([StructField(n, _TYPES[t.replace(";", ",")]) for n, t in pairs])
 
 
 BILL = _schema("""
@@ -99,7 +107,7 @@ TABLE_OBSERVABILITY = _schema("""
 """)
 
 RUN_LOG = _schema("""
-    run_id string, connector string, status string, `rows` bigint, detail string,
+    run_id string, connector string, status string, rows bigint, detail string,
     started_at timestamp, finished_at timestamp
 """)
 
