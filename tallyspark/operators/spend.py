@@ -35,11 +35,6 @@ def _sku() -> Column:
     return _label("sku_id", "(unknown)")
 
 
-def _sku_description() -> Column:
-    text = labels.strip_reservation_arn(F.col("charge_description"))
-    return max_by_present(text, F.col("cost")).alias("sku_description")
-
-
 def _resource_labels() -> list[Column]:
     return [
         _label("resource_type", "(none)"),
@@ -50,37 +45,48 @@ def _resource_labels() -> list[Column]:
     ]
 
 
-def _list_and_savings() -> list[Column]:
-    return [
-        F.sum("list_cost").alias("list_cost"),
-        (F.sum("list_cost") - F.sum("cost")).alias("savings"),
-    ]
+def _with_currency(bill: DataFrame, keys: list[str], *flags: Column) -> DataFrame:
+    """Bill totals per key. Text maxima cannot live in a hash aggregation buffer, so the charges are
+    hashed down with the currency as a key first and only those few rows see the text maximum."""
+    fine = bill.groupBy(*keys, "billing_currency").agg(
+        _net(), _gross(), _credit(), F.sum("list_cost").alias("list_cost"), _partial(), *flags)
+    names = [c for c in fine.columns if c not in (*keys, "billing_currency")]
+    sums = [F.sum(c).alias(c) for c in ("net_cost", "gross_cost", "credit_cost", "list_cost")]
+    other = [F.bool_or(c).alias(c) for c in names if c not in ("net_cost", "gross_cost", "credit_cost", "list_cost")]
+    return fine.groupBy(*keys).agg(
+        *sums, (F.sum("list_cost") - F.sum("net_cost")).alias("savings"), *other,
+        F.max("billing_currency").alias("currency"))
 
 
 def monthly_bill(bill: DataFrame) -> DataFrame:
-    return bill.groupBy("provider_name", "charge_month").agg(
-        _net(), _gross(), _credit(), *_list_and_savings(), _partial(),
-        F.max("billing_currency").alias("currency"),
-    )
+    return _with_currency(bill, ["provider_name", "charge_month"])
 
 
 def spend_by_service_month(bill: DataFrame) -> DataFrame:
-    return bill.groupBy("provider_name", "service_category", "service_name", "charge_month").agg(
-        _net(), _gross(), _credit(), *_list_and_savings(), _partial(),
-        F.bool_or("x_effective_is_list").alias("effective_is_list"),
-        F.max("billing_currency").alias("currency"),
-    )
+    return _with_currency(
+        bill, ["provider_name", "service_category", "service_name", "charge_month"],
+        F.bool_or("x_effective_is_list").alias("effective_is_list"))
+
+
+def _described(bill: DataFrame, keys: list[str], key_columns: list, sums: list[Column], unit: bool) -> DataFrame:
+    """Sums per key with the heaviest charge's description, hashed down by description text first."""
+    text = labels.strip_reservation_arn(F.col("charge_description")).alias("_text")
+    extra = [F.col("consumed_unit").alias("_unit")] if unit else []
+    fine = bill.groupBy(*key_columns, text, *extra).agg(F.max("cost").alias("_top"), *sums, _partial())
+    added = [c for c in fine.columns if c not in (*keys, "_text", "_unit", "_top", "is_partial_period")]
+    return fine.groupBy(*keys).agg(
+        max_by_present(F.col("_text"), F.col("_top")).alias("sku_description"),
+        *[F.sum(c).alias(c) for c in added],
+        *([F.max("_unit").alias("consumed_unit")] if unit else []), _partial())
 
 
 def spend_by_sku_month(bill: DataFrame) -> DataFrame:
-    return bill.groupBy(
-        "provider_name", "service_name",
-        labels.compute_family(F.col("service_name")).alias("compute_family"), _sku(), "charge_month",
-    ).agg(
-        _sku_description(), _net(), F.sum("billed_cost").alias("billed_cost"), _gross(),
-        F.sum("consumed_quantity").alias("consumed_quantity"),
-        F.max("consumed_unit").alias("consumed_unit"), _partial(),
-    )
+    return _described(
+        bill, ["provider_name", "service_name", "compute_family", "sku_id", "charge_month"],
+        ["provider_name", "service_name",
+         labels.compute_family(F.col("service_name")).alias("compute_family"), _sku(), "charge_month"],
+        [_net(), F.sum("billed_cost").alias("billed_cost"), _gross(),
+         F.sum("consumed_quantity").alias("consumed_quantity")], unit=True)
 
 
 def spend_by_cost_subcategory_month(bill: DataFrame) -> DataFrame:
@@ -93,28 +99,21 @@ def spend_by_cost_subcategory_month(bill: DataFrame) -> DataFrame:
 
 
 def resource_month(bill: DataFrame) -> DataFrame:
-    return bill.groupBy(
-        "provider_name", "service_name",
-        labels.compute_family(F.col("service_name")).alias("compute_family"),
-        _sku(), *_resource_labels(), "charge_month",
-    ).agg(
-        _sku_description(), _net(), _gross(),
-        F.sum("consumed_quantity").alias("consumed_quantity"),
-        F.max("consumed_unit").alias("consumed_unit"), _partial(),
-    )
+    return _described(
+        bill, ["provider_name", "service_name", "compute_family", "sku_id", "resource_type", "resource_id",
+               "resource_name", "sub_account_id", "region_id", "charge_month"],
+        ["provider_name", "service_name",
+         labels.compute_family(F.col("service_name")).alias("compute_family"), _sku(), *_resource_labels(), "charge_month"],
+        [_net(), _gross(), F.sum("consumed_quantity").alias("consumed_quantity")], unit=True)
 
 
 def redshift_cluster_cost_month(bill: DataFrame) -> DataFrame:
-    return (
-        bill.where(F.col("service_name").isin(*labels.REDSHIFT_SERVICES))
-        .groupBy(
-            "provider_name", "service_name",
-            labels.cluster_of(F.col("resource_id")).alias("cluster_id"),
-            F.coalesce("x_cost_subcategory", F.lit("(unclassified)")).alias("cost_subcategory"),
-            _sku(), "charge_month",
-        )
-        .agg(_sku_description(), _net(), _gross(), _partial())
-    )
+    return _described(
+        bill.where(F.col("service_name").isin(*labels.REDSHIFT_SERVICES)),
+        ["provider_name", "service_name", "cluster_id", "cost_subcategory", "sku_id", "charge_month"],
+        ["provider_name", "service_name", labels.cluster_of(F.col("resource_id")).alias("cluster_id"),
+         F.coalesce("x_cost_subcategory", F.lit("(unclassified)")).alias("cost_subcategory"), _sku(), "charge_month"],
+        [_net(), _gross()], unit=False)
 
 
 def exploded_tags(bill: DataFrame) -> DataFrame:
