@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm.bpe import encode_documents
 from tallyspark.llm.common import documents
 from tallyspark.llm.exact_dedup import exact_duplicates
 from tallyspark.llm.line_dedup import drop_common_lines, file_batches
+from tallyspark.llm.packing import pack_documents
+from tallyspark.llm.token_count import count_tokens
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2, with_ids=False)
+
+
+def op3_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +40,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_line_dedup, op10_exact_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op3_bpe_prefix_dp, op5_token_count, op8_line_dedup, op10_exact_dedup)
 }
