@@ -12,6 +12,7 @@ from tallyspark.llm.bpe import encode_documents
 from tallyspark.llm.common import documents
 from tallyspark.llm.exact_dedup import exact_duplicates
 from tallyspark.llm.line_dedup import drop_common_lines, file_batches
+from tallyspark.llm.minhash import near_duplicates
 from tallyspark.llm.packing import pack_documents
 from tallyspark.llm.token_count import count_tokens
 
@@ -29,6 +30,11 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=4, percent=80).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = drop_common_lines(docs, min_docs=10, min_chars=1, batches=file_batches(docs.select("text"), 4))
@@ -40,5 +46,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_bpe_prefix_dp, op5_token_count, op8_line_dedup, op10_exact_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op3_bpe_prefix_dp, op5_token_count, op6_minhash, op8_line_dedup, op10_exact_dedup)
 }
