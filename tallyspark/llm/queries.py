@@ -14,6 +14,7 @@ from tallyspark.llm.exact_dedup import exact_duplicates
 from tallyspark.llm.line_dedup import drop_common_lines, file_batches
 from tallyspark.llm.minhash import near_duplicates
 from tallyspark.llm.packing import pack_documents
+from tallyspark.llm.suffix_dedup import remove_repeats
 from tallyspark.llm.token_count import count_tokens
 
 
@@ -22,6 +23,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2, with_ids=False)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir), length=400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
@@ -46,5 +52,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_bpe_prefix_dp, op5_token_count, op6_minhash, op8_line_dedup, op10_exact_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_bpe_prefix_dp, op5_token_count, op6_minhash, op8_line_dedup, op10_exact_dedup)
 }
