@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm.ann import nearest_by_product
 from tallyspark.llm.bpe import encode_documents
 from tallyspark.llm.common import documents
 from tallyspark.llm.exact_dedup import exact_duplicates
@@ -47,10 +48,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_product(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(spark, f"{sf_dir}/documents.parquet")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_bpe_prefix_dp, op5_token_count, op6_minhash, op8_line_dedup, op10_exact_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_bpe_prefix_dp, op5_token_count, op6_minhash, op8_line_dedup, op9_ann, op10_exact_dedup)
 }
