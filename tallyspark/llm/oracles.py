@@ -2,7 +2,19 @@
 
 _BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 
+_BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+
 ORACLES = {
+    # Five hexadecimal digits are four letters of base32.
+    "op4_warc": f"""
+        with page as (select page_id, coalesce(html, '') as html, max(page_id) over (partition by coalesce(html, '')) as keeper from pages)
+        select page_id, strlen(html) as payload_bytes,
+               list_aggregate([
+                   substr({_BASE32}, 1 + ((('0x' || substr(sha1(html), 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1)
+                   for i in range(0, 32)], 'string_agg', '') as payload_digest,
+               case when page_id = keeper then 'response' else 'revisit' end as record_type,
+               case when page_id <> keeper then keeper end as refers_to
+        from page""",
     "op8_line_dedup": f"""
         with line as (
             select rowid_, doc_id, pos,

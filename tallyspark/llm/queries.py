@@ -12,11 +12,13 @@ from tallyspark.llm.ann import nearest_by_product
 from tallyspark.llm.bpe import encode_documents
 from tallyspark.llm.common import documents
 from tallyspark.llm.exact_dedup import exact_duplicates
+from tallyspark.llm.langid import identify
 from tallyspark.llm.line_dedup import drop_common_lines, file_batches
 from tallyspark.llm.minhash import near_duplicates
 from tallyspark.llm.packing import pack_documents
 from tallyspark.llm.suffix_dedup import remove_repeats
 from tallyspark.llm.token_count import count_tokens
+from tallyspark.llm.warc import archive_and_index
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +35,11 @@ def op3_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_index(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -42,6 +49,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = drop_common_lines(docs, min_docs=10, min_chars=1, batches=file_batches(docs.select("text"), 4))
@@ -57,5 +68,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_bpe_prefix_dp, op5_token_count, op6_minhash, op8_line_dedup, op9_ann, op10_exact_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_bpe_prefix_dp, op4_warc, op5_token_count, op6_minhash, op7_language_id, op8_line_dedup, op9_ann, op10_exact_dedup)
 }
