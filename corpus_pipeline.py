@@ -1,21 +1,72 @@
-"""Corpus pipeline: language filter, line dedup, near-dedup, passage dedup, packing."""
+"""Corpus pipeline: language filter, line dedup, near-dedup, passage dedup, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all documents its predecessor kept and reads them from a
+stored table. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyspark.llm.common import documents, stored
+from tallyspark.llm.common import documents, stored, with_row
+from tallyspark.llm.langid import UNDETERMINED, fit, fold, predict
 from tallyspark.llm.line_dedup import drop_common_lines, file_batches
-from pyspark.sql import functions as F
+from tallyspark.llm.minhash import near_duplicates
+from tallyspark.llm.packing import pack_documents
+from tallyspark.llm.suffix_dedup import remove_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Below this the most likely language is hardly more likely than the others.
+LEAST_SCORE = 0.3
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or in no language that the labelled ones teach, go; without labels only the former."""
+    learn = docs.where(~fold() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    if learn.isEmpty():
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    said = predict(docs.select(*COLUMNS), fit(learn), keep=COLUMNS)
+    return said.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).withColumn(
+        "lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten or more documents hold go; n_chars follows the text."""
+    """Lines that ten or more documents hold go from all of them."""
     out = drop_common_lines(docs, min_docs=10, batches=file_batches(docs.select("text"), 4), keep=("lang", "source"))
-    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    return _sized(out)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five words, 80 %) the document with the smallest identifier stays."""
+    gone = near_duplicates(docs, words=5, percent=80).where("not kept").select("_row")
+    return with_row(docs, *COLUMNS).join(gone, "_row", "left_anti").select(*COLUMNS)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that occur more than once go; letters cut by a string's edge stay."""
+    return _sized(remove_repeats(docs, length=400, keep=("lang", "source")))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens, one row per piece with its ids."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
 
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_duplicate_stage),
+    ("passage_dedup", passage_stage),
+    ("packing", packing_stage),
+]
 
-STAGES = [("line_dedup", line_stage)]
+# Model scores, byte-pair merging and best fit have no SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
