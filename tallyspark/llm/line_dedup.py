@@ -99,18 +99,20 @@ def drop_common_lines(
         runs.add(batch, text_col)
     common = stored(runs.common(), "line-common")
 
-    rows = with_row(docs, id_col, text_col, *keep)
-    lines = F.split(text_of(text_col), "\n")
+    # What is only passed on travels as one column, so its names cannot clash with those used here.
+    rows = with_row(
+        docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.struct(F.lit(0), *keep).alias("passed")),
+        "doc_id", "text", "passed")
+    lines = F.split("text", "\n")
     found = (
-        rows.select("_row", F.posexplode(F.transform(lines, lambda x: _hashed(x, min_chars))).alias("_line", "_key"))
-        .where("_key is not null")
-        .join(common.withColumnRenamed("key", "_key"), "_key", "left_semi")
+        rows.select("_row", F.posexplode(F.transform(lines, lambda x: _hashed(x, min_chars))).alias("_line", "key"))
+        .where("key is not null")
+        .join(common, "key", "left_semi")
         .groupBy("_row").agg(F.collect_list("_line").alias("_gone")))
     joined = rows.join(found, "_row", "left").withColumn("_lines", lines)
     # Set difference is hashed, so the work stays linear in the lines of a document.
     left = F.array_except(F.sequence(F.lit(0), F.array_size("_lines") - 1), "_gone")
     kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(left, lambda i: F.get("_lines", i)))
     return joined.select(
-        F.col(id_col).alias("doc_id"), F.array_join(kept, "\n").alias("text"),
-        F.array_size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_dropped"), *keep)
+        "doc_id", F.array_join(kept, "\n").alias("text"), F.array_size("_lines").cast("long").alias("n_lines"),
+        F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_dropped"), *(f"passed.`{c}`" for c in keep))

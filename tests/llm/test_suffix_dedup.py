@@ -1,7 +1,6 @@
 """Repeated byte strings against a count of every window."""
 
 import random
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,24 +8,11 @@ import pytest
 from tallyspark.llm import suffix_dedup
 from tallyspark.llm.common import stored
 from tallyspark.llm.suffix_dedup import remove_repeats, sampled_cells
+from tests.llm.brute import whole_letters, without_repeats
 
 SCHEMA = "doc_id long, text string, core long, whole string, n int"
 
 
-def brute(texts, length):
-    data = [(t or "").encode() for t in texts]
-    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
-    out = []
-    for d in data:
-        gone = np.zeros(len(d) + 1, bool)
-        for i in range(len(d) - length + 1):
-            if seen[d[i : i + length]] > 1:
-                gone[i : i + length] = True
-        edges = np.diff(np.concatenate([[False], gone]).astype(int))
-        out.append((len(d), int(gone.sum()), int((edges == 1).sum()), bytes(b for b, g in zip(d, gone) if not g)))
-    return out
-
-
 def corpus(seed):
     rnd = random.Random(seed)
     word = lambda: rnd.choice(["ab", "é", "xyz", "q", "longer", " ", "ü1"])
@@ -43,10 +29,10 @@ def test_against_every_window(spark, seed, length):
     docs = corpus(seed)
     frame = stored(spark.createDataFrame([(i, t, 7, "x", 1) for i, t in enumerate(docs)], SCHEMA).repartition(3), "test-docs")
     got = {r.doc_id: r for r in remove_repeats(frame, length=length, keep=("whole", "n")).collect()}
-    want = brute(docs, length)
-    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in (got[i] for i in range(len(docs)))] == want
-    for i, t in enumerate(docs):
-        assert len(got[i].kept) <= len(got[i].text.encode()) <= len((t or "").encode())
+    for i, (t, want) in enumerate(zip(docs, without_repeats(docs, length), strict=True)):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[:4]
+        assert r.text == whole_letters(t or "", want[4])
         assert (got[i].whole, got[i].n) == ("x", 1)
 
 
