@@ -18,7 +18,6 @@ def star_components(edges: DataFrame) -> DataFrame:
     """
     now = stored(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -30,9 +29,10 @@ def star_components(edges: DataFrame) -> DataFrame:
         now = stored(
             handed.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small-star")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        # Done when every node but the smallest of its component has one edge, to a node that has none upwards.
+        tops = now.select("v").distinct()
+        ends = now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).join(tops, F.col("u") == F.col("v"), "left")
+        if ends.where("n > 1 or v is not null").isEmpty():
             break
-        seen = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

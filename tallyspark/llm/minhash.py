@@ -66,54 +66,88 @@ def _band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _signatures(rows: DataFrame, words: int, bands: int, band_rows: int) -> DataFrame:
-    """Set size, digest of the set, band keys and a 16-bit sketch of every row."""
+    """Set size, digest of the set and band keys of every row."""
     sketcher = Sketcher(bands * band_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, digest, keys, small = [], [], [], []
+            size, digest, keys = [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingle_set((text or "").encode("utf-8"), words)
                 size.append(len(own))
                 if len(own):
-                    sketch = sketcher(own)
                     digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                    keys.append(_band_keys(sketch, band_rows))
-                    small.append(mix(sketch).astype(np.uint16).tobytes())
+                    keys.append(_band_keys(sketcher(own), band_rows))
                 else:
                     digest.append(None)
                     keys.append(None)
-                    small.append(None)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
-                pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary()),
-            ], ["_row", "doc_id", "n", "digest", "bands", "sketch"])
+                pa.array(keys, pa.list_(pa.int64())),
+            ], ["_row", "doc_id", "n", "digest", "bands"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_row long, doc_id {kind}, n long, digest binary, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, f"_row long, doc_id {kind}, n long, digest binary, bands array<long>")
+
+
+def _bits(items: np.ndarray) -> bytes:
+    """A bit per item by its hash, in a power of two of bits, at least eight for each item."""
+    size = max(64, 1 << int(8 * len(items) - 1).bit_length())
+    out = np.zeros(size, bool)
+    out[(mix(items) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def most_common(a: bytes, b: bytes, size_a: int, size_b: int) -> int:
+    """An upper bound of the number of items that two sets share, from their bits.
+
+    Every bit that only one set has is an item that the other lacks. Of two lengths the longer one is folded.
+    """
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    x, y = np.bitwise_or.reduce(x.reshape(-1, size)), np.bitwise_or.reduce(y.reshape(-1, size))
+    return min(size_a - int(np.bitwise_count(x & ~y).sum()), size_b - int(np.bitwise_count(y & ~x).sum()))
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """The whole shingle set of each (node, text)."""
+    """The whole shingle set of each (node, text), and its bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set((t or "").encode("utf-8"), words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "items"])
+            sets = [shingle_set((t or "").encode("utf-8"), words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_bits(x) for x in sets], pa.binary()),
+                pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "bits", "items"])
 
-    return rows.mapInArrow(run, "node long, items binary")
+    return rows.select("node", "text").mapInArrow(run, "node long, n long, bits binary, items binary")
 
 
-def _plausible(pairs: DataFrame, least: int) -> DataFrame:
-    """Pairs whose sketches agree in at least so many coordinates."""
+def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bits do not rule the similarity out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("sketch").to_pylist(), batch.column("pivot_sketch").to_pylist()
-            keep = [int((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).sum()) >= least for x, y in zip(a, b, strict=True)]
+            keep = []
+            for a, b, n, m in zip(*(batch.column(c).to_pylist() for c in ("bits", "pivot_bits", "n", "pivot_n")), strict=True):
+                both = most_common(a, b, n, m)
+                keep.append(100 * both >= percent * (n + m - both))
             yield batch.select(["node", "pivot"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("node", "pivot", "sketch", "pivot_sketch").mapInArrow(run, "node long, pivot long")
+    return pairs.select("node", "pivot", "bits", "pivot_bits", "n", "pivot_n").mapInArrow(run, "node long, pivot long")
+
+
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """(node, n, common): how many items of each set another of the sets has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, items in zip(batch.column("node").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                own = np.frombuffer(items, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], ["node", "item"])
+
+    single = sets.select("node", "items").mapInArrow(run, "node long, item long").groupBy("item").agg(
+        F.count(F.lit(1)).alias("sets"), F.min("node").alias("node")).where("sets = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    return sets.select("node", "n").join(single, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,19 +182,20 @@ def near_duplicates(
 
     Equal sets are one node. Nodes meet in buckets of equal band keys; with 28 bands of 4 coordinates a pair
     at 80 % shares none with a probability of 4e-7. A bucket is finished when its nodes are in one component or
-    all pairs between components are decided, without listing all pairs: in each round some of its nodes are
-    pivots and every node of another component is compared with those only. Links found anywhere merge
-    components, so most buckets finish after the first rounds; the number of pivots doubles, so a bucket of many
-    unlinked nodes takes a logarithmic number of rounds. Sketches that agree in less than 55 % of the
-    coordinates (under 80 % similarity that is six deviations away) rule a pair out before its sets move.
+    all pairs between components are decided, without listing all pairs. First all are compared with the
+    bucket's smallest node; links found anywhere merge components, which finishes most buckets. In those still
+    open, a set can share at most the items that another open set has too: nodes and pairs for which that is too
+    little are decided by counting. For the rest some nodes of each bucket are pivots and the nodes of other
+    components are compared with those only; their number grows eightfold from round to round, so a bucket of
+    many unlinked nodes takes a logarithmic number of rounds. Before two sets move they have to pass a bound
+    from a bit per item, which never rules out a link.
     """
-    least = int(0.55 * bands * band_rows * percent / 80)
     rows = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text")
     all_rows = stored(_signatures(rows.select("_row", "doc_id", "text"), words, bands, band_rows), "near-signatures")
     nodes = stored(
         all_rows.where("n > 0").groupBy("digest")
-        .agg(F.min(F.struct("_row", "n", "sketch", "bands")).alias("first"), F.min("doc_id").alias("least"))
-        .select(F.col("first._row").alias("node"), "digest", "least", "first.n", "first.sketch", "first.bands"),
+        .agg(F.min(F.struct("_row", "bands")).alias("first"), F.min("doc_id").alias("least"))
+        .select(F.col("first._row").alias("node"), "digest", "least", "first.bands"),
         "near-nodes")
     dealt = nodes.select("node", F.explode("bands").alias("key"))
     shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
@@ -168,44 +203,49 @@ def near_duplicates(
     wanted = buckets.select("node").distinct()
     sets = stored(_sets(rows.select(F.col("_row").alias("node"), "text").join(wanted, "node"), words), "near-sets")
 
-    small = nodes.select("node", "n", "sketch")
-    pivot_small = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
+    small = sets.select("node", "n", "bits")
+    pivot_small = sets.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits"))
 
     def links(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(small, "node").join(pivot_small, "pivot").where(
-            (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")))
-        return _verified(stored(_plausible(sized, least), "near-pairs"), sets, percent)
+            100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
+        return stored(_verified(stored(_plausible(sized, percent), "near-pairs"), sets, percent), "near-links")
+
+    def undecided(labels: DataFrame, members: DataFrame) -> DataFrame:
+        """The members of buckets with more than one component."""
+        member = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_keys = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        return member.join(open_keys, "key")
 
     # First round: the smallest node of each bucket is the pivot of all others.
-    edges = stored(links(buckets.where("node <> pivot").select("node", "pivot").distinct()), "near-links")
+    edges = links(buckets.where("node <> pivot").select("node", "pivot").distinct())
     labels = star_components(edges.select(F.col("node").alias("u"), F.col("pivot").alias("v")))
-    used = buckets.select("key", F.col("pivot").alias("node")).distinct()
-    pivots_each = 1
+    left = stored(undecided(labels, buckets.where("node <> pivot").select("key", "node")).select("key", "node"), "near-open")
+    counted = _shared_sizes(sets.join(left.select("node").distinct(), "node", "left_semi")).where(100 * F.col("common") >= percent * F.col("n"))
+    left = stored(left.join(counted, "node"), "near-counted")
+    pivots_each = 8
     while True:
-        member = buckets.select("key", "node").join(labels, "node", "left").select(
-            "key", "node", F.coalesce("label", "node").alias("label"))
-        open_keys = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        left = stored(
-            member.join(open_keys, "key").join(used.withColumn("done", F.lit(True)), ["key", "node"], "left")
-            .where("done is null").drop("done"), "near-open")
-        # All but the component with most undecided nodes have to be compared; what stays undecided is one component.
+        # All but the component with most nodes have to be compared; what stays undecided is one component.
+        left = stored(undecided(labels, left).select("key", "node", "n", "common", "label"), "near-left")
         main = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(
             F.max(F.struct("size", "label")).alias("most"))
         order = Window.partitionBy("key").orderBy("node")
         chosen = stored(
-            left.join(main, "key").where("label <> most.label")
-            .select("key", "node", "label", F.row_number().over(order).alias("nth")).where(F.col("nth") <= pivots_each)
-            .select("key", F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "near-pivots")
+            left.join(main, "key").where("label <> most.label").withColumn("nth", F.row_number().over(order))
+            .where(F.col("nth") <= pivots_each).select(
+                "key", *(F.col(c).alias(f"pivot_{c}") for c in ("n", "common", "label")), F.col("node").alias("pivot")), "near-pivots")
         if chosen.isEmpty():
             break
-        pairs = left.join(chosen, "key").where("label <> pivot_label").select("node", "pivot").distinct()
-        found = stored(links(pairs), "near-links")
+        both = F.least("common", "pivot_common")
+        met = (left["key"] == chosen["key"]) & (F.col("label") != F.col("pivot_label")) & (
+            100 * both >= percent * (F.col("n") + F.col("pivot_n") - both))
+        found = links(left.join(chosen, met).select("node", "pivot").distinct())
         if not found.isEmpty():
-            joined = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(
-                found.select(F.col("node").alias("u"), F.col("pivot").alias("v")))
-            labels = star_components(joined)
-        used = stored(used.unionByName(chosen.select("key", F.col("pivot").alias("node"))), "near-used")
-        pivots_each *= 2
+            labels = star_components(
+                labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(
+                    found.select(F.col("node").alias("u"), F.col("pivot").alias("v"))))
+        left = left.drop("label").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
+        pivots_each *= 8
 
     grouped = nodes.select("node", "digest", "least").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
