@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import math
 import re
@@ -67,6 +68,7 @@ def _record(page_id: int | None, url: str | None, html: str, seconds: int, refer
 
 def write_archives(
     pages: DataFrame, path: str, *, when: Column | None = None, min_revisit_bytes: int = 0, records_per_file: int = 4096,
+    compression: str = "gzip",
 ) -> None:
     """Write a WARC record per row of (page_id, url, html) as archives in the folder `path`.
 
@@ -78,7 +80,8 @@ def write_archives(
 
     Spark's text writer makes the files: a record is text, and the separator it writes after each is the end of a
     WARC record. So archives go wherever Spark writes, and a lost task writes its file again. Equal payloads
-    meet by digest only in an aggregate of identifiers.
+    meet by digest only in an aggregate of identifiers. With `compression` gzip an archive is one gzip stream and
+    places in it count the bytes before compression; with none a record can be read from its place in the file.
     """
     seconds = F.coalesce(when if when is not None else F.lit(1577836800) + F.pmod("page_id", F.lit(1_000_000_000)), F.lit(1577836800))
     rows = pages.select(
@@ -93,7 +96,8 @@ def write_archives(
             records = [_record(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.string())], ["value"])
 
-    marked.mapInArrow(run, "value string").write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).text(path)
+    marked.mapInArrow(run, "value string").write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).option(
+        "compression", compression).text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -136,7 +140,8 @@ ENTRY = (
 def read_archives(spark: SparkSession, path: str, *, with_payload: bool = False) -> DataFrame:
     """One row per record of the archives in `path`, those of an archive sorted by URL key and capture time.
 
-    With `with_payload` also the payload (null for revisits). A record's bytes are `length` from `offset` of its archive.
+    With `with_payload` also the payload (null for revisits). A record's bytes are `length` from `offset` of its archive,
+    before compression.
     """
     names = [part.split()[0] for part in ENTRY.split(", ")]
     kinds = [pa.int64() if part.endswith(" long") else pa.string() for part in ENTRY.split(", ")]
@@ -149,7 +154,9 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = False)
         for batch in batches:
             for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for offset, length, fields, size, digest, payload in parse_archive(content.as_py()):
+                data = content.as_py()
+                data = gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
+                for offset, length, fields, size, digest, payload in parse_archive(data):
                     url = fields.get("warc-target-uri")
                     row = (archive, offset, length, url_key(url), fields["warc-date"], number(fields["warc-record-id"]), url, size, digest,
                            fields["warc-type"], number(fields.get("warc-refers-to")))

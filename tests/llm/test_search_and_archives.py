@@ -63,13 +63,14 @@ def test_nearest_of_few(spark):
 PAGES = "page_id long, url string, html string, keeper string, content int"
 
 
-def test_archives(spark, tmp_path):
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_archives(spark, tmp_path, compression):
     rows = [
         (1, "http://www.Example.com/b?y=2&x=1#part", "<p>hé\r\n\r\nWARC/1.1</p>"), (2, "https://example.com:443/b?x=1&y=2", "same"), (3, None, "same"),
         (4, "http://a.org/\r\nX: y", ""), (5, "http://a.org", None), (6, "::bad[", "z" * 300_000), (None, "http://n.org/", "same"), (None, "http://n.org/", "only"), (7, "x", "rep"), (7, "x", "rep")]
     pages = spark.createDataFrame([(*r, "k", 1) for r in rows], PAGES).repartition(3)
     path = str(tmp_path / "warc")
-    got = archive_and_index(pages, path, records_per_file=2).collect()
+    got = archive_and_index(pages, path, records_per_file=2, compression=compression).collect()
     best = {}
     for i, _, html in rows:
         best.setdefault(html or "", []).append(i)
@@ -84,7 +85,7 @@ def test_archives(spark, tmp_path):
     payloads = {r.payload.decode() for r in read_archives(spark, path, with_payload=True).collect() if r.payload is not None}
     assert payloads == {html or "" for _, _, html in rows}
     # A record can be read alone from its place.
-    for r in got[:3]:
+    for r in got[:3] if compression == "none" else ():
         with open(r.archive.removeprefix("file:"), "rb") as file:
             file.seek(r.offset)
             assert [x[2]["warc-type"] for x in parse_archive(file.read(r.length))] == [r.record_type]
