@@ -47,7 +47,7 @@ SELECT warehouse_name, CASE WHEN ifnull(r, 0) < 0.10 THEN 'idle_running' ELSE 'o
   CASE WHEN ifnull(r, 0) < 0.10 THEN 'Enable auto-suspend (60s); consider X-Small for dev'
     ELSE 'Scale down warehouse size; review concurrent usage' END AS recommendation, ifnull(sz, 'UNKNOWN') AS size
 FROM (SELECT warehouse_name, sum(credits_used)::DOUBLE AS c FROM {WMH} WHERE {D30} GROUP BY 1 HAVING sum(credits_used) >= 10)
-LEFT JOIN (SELECT warehouse_name, avg(avg_running) AS r FROM au_warehouse_load_history WHERE {D30} GROUP BY 1) USING (warehouse_name)
+LEFT JOIN (SELECT warehouse_name, sum(avg_running::DECIMAL(18, 6))::DOUBLE / count(avg_running) AS r FROM au_warehouse_load_history WHERE {D30} GROUP BY 1) USING (warehouse_name)
 LEFT JOIN (SELECT warehouse_name, (array_agg(warehouse_size ORDER BY start_time DESC, warehouse_size DESC))[1] AS sz FROM {QH}
   WHERE {D30} AND warehouse_size IS NOT NULL GROUP BY 1) USING (warehouse_name) WHERE ifnull(r, 0) < 0.5""")
 add("hws", f"""
@@ -57,7 +57,7 @@ SELECT concat_ws('.', table_catalog, table_schema, table_name) AS object_name,
   round((time_travel_bytes + failsafe_bytes) / {TB} * 23, 2) AS monthly_cost_usd, round((time_travel_bytes + failsafe_bytes) / {TB} * 23, 2) AS actual_cost_usd,
   'Review data retention policy; shorten time-travel window' AS recommendation
 FROM au_table_storage_metrics WHERE table_name IS NOT NULL AND time_travel_bytes + failsafe_bytes > 1073741824
-ORDER BY time_travel_bytes + failsafe_bytes DESC, 1 LIMIT 50""")
+""")
 add("uwh", f"""SELECT user_name, warehouse_name, sum(credits_attributed_compute)::DOUBLE AS c FROM {QH} q
   JOIN (SELECT query_id, credits_attributed_compute FROM {QA}) a USING (query_id) WHERE {D30} GROUP BY ALL""")
 add("tco", f"""
@@ -88,7 +88,7 @@ def idle(where: str) -> str:
 SELECT warehouse_name AS object_name, {CC}, round(ifnull(r, 0), 3) AS avg_running, round(ifnull(q, 0), 3) AS avg_queued_load,
   CASE WHEN c >= 100 AND ifnull(r, 0) < 0.15 THEN 'BLOCKER' WHEN c >= 25 AND ifnull(r, 0) < 0.3 THEN 'WARN' ELSE 'INFO' END AS severity
 FROM (SELECT warehouse_name, sum(credits_used) AS c FROM {WMH} WHERE warehouse_id > 0 AND {where} GROUP BY 1)
-LEFT JOIN (SELECT warehouse_name, avg(avg_running) AS r, avg(avg_queued_load) AS q FROM au_warehouse_load_history WHERE {where} GROUP BY 1)
+LEFT JOIN (SELECT warehouse_name, sum(avg_running::DECIMAL(18, 6))::DOUBLE / count(avg_running) AS r, sum(avg_queued_load::DECIMAL(18, 6))::DOUBLE / count(avg_queued_load) AS q FROM au_warehouse_load_history WHERE {where} GROUP BY 1)
   USING (warehouse_name) WHERE c >= 10"""
 
 
@@ -101,9 +101,9 @@ def board() -> str:
     parts = []
     for frame, key in (("kpi_summary", "a2_kpi_summary"), ("cost_breakdown", "a3_cost_breakdown"),
                        ("ai_cost_breakdown", "a4_ai_cost_breakdown"), ("serverless_cost_breakdown", "a5_serverless_cost_breakdown"),
-                       ("top_tables_storage", "a6_top_tables_storage"), ("top_users_hidden_waste", "a7_top_users_hidden_waste"),
+                       ("top_tables_storage", "a6_top_tables_storage_all"), ("top_users_hidden_waste", "a7_top_users_hidden_waste_all"),
                        ("tco_trend", "a8_tco_monthly_trend_and_forecast"), ("hidden_waste_compute", "a15_hidden_waste_compute"),
-                       ("hidden_waste_storage", "a16_hidden_waste_storage"), ("hidden_waste_ai", "a17_hidden_waste_ai"),
+                       ("hidden_waste_storage", "a16_hidden_waste_storage_all"), ("hidden_waste_ai", "a17_hidden_waste_ai"),
                        ("hidden_waste_summary", "a18_hidden_waste_summary"), ("ai_spend_summary", "a28_ai_spend_summary"),
                        ("cost_breakdown_monthly", "a32_cost_breakdown_monthly")):
         parts.append(f"SELECT '{frame}' AS frame, count(*) AS n FROM ({ORACLES[key]})")
@@ -161,7 +161,10 @@ SELECT * FROM d WHERE warehouse_name IN (SELECT warehouse_name FROM d GROUP BY 1
     "a14_idle_warehouses": fin(idle("true")),
     "a14_idle_warehouses_filtered": fin(idle(RANGE)),
     "a15_hidden_waste_compute": fin("SELECT * FROM hwc"),
-    "a16_hidden_waste_storage": fin("SELECT * FROM hws"),
+    "a16_hidden_waste_storage_all": fin("""SELECT * FROM hws WHERE object_name IN (
+ SELECT concat_ws('.', table_catalog, table_schema, table_name) FROM au_table_storage_metrics
+ WHERE table_name IS NOT NULL ORDER BY time_travel_bytes + failsafe_bytes DESC, 1 LIMIT 50)"""),
+    "a16_hidden_waste_storage_all": fin("SELECT * FROM hws"),
     "a17_hidden_waste_ai": fin("SELECT * FROM au_hidden_waste_ai"),
     "a18_hidden_waste_summary": fin(f"""
 SELECT round(c, 0) AS compute, round(s, 0) AS storage_annual, round(a, 0) AS ai, round(c + s + a, 0) AS total, round(p, 0) AS spend_30d,
@@ -182,6 +185,11 @@ SELECT object_name, queries, {CC}, round(z::DOUBLE, 2) AS qas_credits, warehouse
  SELECT query_parameterized_hash AS object_name, count(*) AS queries, sum(credits_attributed_compute) AS c,
   sum(ifnull(credits_used_query_acceleration, 0)) AS z, min(warehouse_name) AS warehouse FROM {QA}
  WHERE query_parameterized_hash IS NOT NULL GROUP BY 1 HAVING sum(credits_attributed_compute) >= 1 ORDER BY 3 DESC, 1 LIMIT 50)"""),
+    "a21_query_attributed_cost_all": fin(f"""
+SELECT object_name, queries, {CC}, round(z::DOUBLE, 2) AS qas_credits, warehouse FROM (
+ SELECT query_parameterized_hash AS object_name, count(*) AS queries, sum(credits_attributed_compute) AS c,
+  sum(ifnull(credits_used_query_acceleration, 0)) AS z, min(warehouse_name) AS warehouse FROM {QA}
+ WHERE query_parameterized_hash IS NOT NULL GROUP BY 1 HAVING sum(credits_attributed_compute) >= 1)"""),
     "a22_expensive_query_patterns": fin(f"""
 SELECT query_hash AS object_name, count(*) AS queries, round(sum(bytes_scanned)::DOUBLE / {TB}, 2) AS tb_scanned,
   round(sum(bytes_spilled_to_remote_storage)::DOUBLE / {GB}, 2) AS gb_remote_spill, round(max(total_elapsed_time)::DOUBLE / 1000, 1) AS max_elapsed_sec,
@@ -203,6 +211,10 @@ SELECT {_TBL} AS object_name, round(active_bytes / {GB}, 2) AS active_gb, round(
   round(failsafe_bytes / {GB}, 2) AS failsafe_gb, round(retained_for_clone_bytes / {GB}, 2) AS clone_gb, is_transient AS transient
 FROM au_table_storage_metrics WHERE table_name IS NOT NULL AND active_bytes + time_travel_bytes + failsafe_bytes > 0
 ORDER BY active_bytes + time_travel_bytes + failsafe_bytes + retained_for_clone_bytes DESC, 1 LIMIT 30"""),
+    "a25_top_tables_all": fin(f"""
+SELECT {_TBL} AS object_name, round(active_bytes / {GB}, 2) AS active_gb, round(time_travel_bytes / {GB}, 2) AS time_travel_gb,
+  round(failsafe_bytes / {GB}, 2) AS failsafe_gb, round(retained_for_clone_bytes / {GB}, 2) AS clone_gb, is_transient AS transient
+FROM au_table_storage_metrics WHERE table_name IS NOT NULL AND active_bytes + time_travel_bytes + failsafe_bytes > 0"""),
     "a26_unattributed_spend": fin(f"""
 SELECT warehouse_name AS object_name, {CC}, ifnull(o, '<missing>') AS owner, ifnull(k, '<missing>') AS cost_center
 FROM (SELECT warehouse_name, sum(credits_used) AS c FROM {WMH} WHERE warehouse_id > 0 GROUP BY 1)
@@ -249,9 +261,9 @@ GROUP BY ALL"""),
     "a33_warehouse_cost_profile": fin(f"""
 SELECT warehouse_name AS object_name, {CC}, round(ifnull(r, 0) * 100, 1) AS avg_running_pct, round(ifnull(q, 0), 3) AS avg_queued_load
 FROM (SELECT warehouse_name, sum(credits_used) AS c FROM {WMH} WHERE warehouse_id > 0 GROUP BY 1)
-LEFT JOIN (SELECT warehouse_name, avg(avg_running) AS r, avg(avg_queued_load) AS q FROM au_warehouse_load_history GROUP BY 1) USING (warehouse_name) WHERE c > 0"""),
+LEFT JOIN (SELECT warehouse_name, sum(avg_running::DECIMAL(18, 6))::DOUBLE / count(avg_running) AS r, sum(avg_queued_load::DECIMAL(18, 6))::DOUBLE / count(avg_queued_load) AS q FROM au_warehouse_load_history GROUP BY 1) USING (warehouse_name) WHERE c > 0"""),
     "a34_warehouse_load_profile": fin("""
-SELECT start_time::DATE AS date, warehouse_name AS object_name, round(avg(avg_running), 3) AS avg_running, round(avg(avg_queued_load), 3) AS avg_queued_load
+SELECT start_time::DATE AS date, warehouse_name AS object_name, round(sum(avg_running::DECIMAL(18, 6))::DOUBLE / count(avg_running), 3) AS avg_running, round(sum(avg_queued_load::DECIMAL(18, 6))::DOUBLE / count(avg_queued_load), 3) AS avg_queued_load
 FROM au_warehouse_load_history WHERE start_time >= TIMESTAMP '2024-01-23' GROUP BY ALL"""),
     "a35_warehouse_heatmap": fin(f"""
 WITH d AS (SELECT warehouse_name AS object_name, start_time::DATE AS date, sum(credits_used)::DOUBLE AS v FROM {WMH}
@@ -264,4 +276,7 @@ WHERE object_name IN (SELECT object_name FROM d GROUP BY 1 ORDER BY sum(v) DESC,
 for _g in ("day", "week", "month", "year"):
     ORACLES[f"a12_warehouse_spend_{_g}"] = fin(spend(
         f"date_trunc('{_g}', start_time)::DATE AS period, warehouse_name", where=f"warehouse_id > 0 AND {RANGE}"))
+# Without a number the operators return every row.
+for _name, _cut in (("a6_top_tables_storage", " LIMIT 25"), ("a7_top_users_hidden_waste", " LIMIT 5")):
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(_cut, "")
 ORACLES["a37_leaderboard_snapshot"] = board()

@@ -196,7 +196,7 @@ SELECT 'table' AS entity_type, 'main:' || db_name || '.' || schema_name || '.' |
   weighted_exec_seconds AS table_weighted_exec_seconds,
   100 * (ifnull(weighted_exec_seconds, 0) / (SELECT sum(weighted_exec_seconds) FROM twl)) AS table_compute_share_pct,
   scan_bytes::DOUBLE / 1073741824 AS table_scan_gb, rows_pre_filter AS table_rows_pre_filter, rows_returned AS table_rows_returned
-FROM (SELECT * FROM svv_table_info ORDER BY size_mb DESC, table_id LIMIT 5000) t LEFT JOIN twl USING (table_id)
+FROM svv_table_info t LEFT JOIN twl USING (table_id)
 LEFT JOIN pg_tables o ON o.schemaname = schema_name AND o.tablename = t.table_name""")
 _PARTS = ("compute", "concurrency_scaling", "storage", "spectrum_scan")
 add("ccb", "SELECT split_part(resource_id, ':cluster:', 2) AS cluster_id, " + ", ".join(

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.frame import broadcast_single, ratio, ranked, top_rows, union_all
+from tallyspark.operators.frame import broadcast_single, exact_avg, ratio, ranked, top_rows, union_all
 
 Tables = dict[str, DataFrame]
 
@@ -203,7 +203,7 @@ def _gb(c: str) -> Column:
     return _round2(F.col(c) / _GB)
 
 
-def top_tables_storage(tables: Tables, n: int = 25) -> DataFrame:
+def top_tables_storage(tables: Tables, n: int | None = None) -> DataFrame:
     total = F.col("active_bytes") + F.col("time_travel_bytes") + F.col("failsafe_bytes")
     rows = top_rows(tables["table_storage_metrics"].where(F.col("table_name").isNotNull()), n,
                     total.desc(), _table_label())
@@ -212,7 +212,7 @@ def top_tables_storage(tables: Tables, n: int = 25) -> DataFrame:
                        _round2(total / _GB).alias("total_gb"))
 
 
-def top_tables(tables: Tables, n: int = 30) -> DataFrame:
+def top_tables(tables: Tables, n: int | None = None) -> DataFrame:
     held = F.col("active_bytes") + F.col("time_travel_bytes") + F.col("failsafe_bytes")
     rows = top_rows(
         tables["table_storage_metrics"].where(F.col("table_name").isNotNull() & (held > 0)), n,
@@ -230,7 +230,7 @@ def _attributed(tables: Tables, day: dt.date, days: int, *columns: str) -> DataF
 
 
 def top_users_hidden_waste(
-    tables: Tables, day: dt.date, n: int = 5, p: Prices = Prices()
+    tables: Tables, day: dt.date, n: int | None = None, p: Prices = Prices()
 ) -> DataFrame:
     """Users carrying most of the hidden waste, each with their larger of compute and AI waste."""
     per = _attributed(tables, day, 30, "warehouse_name").groupBy("user_name", "warehouse_name").agg(
@@ -302,16 +302,17 @@ def tco_by_month(tables: Tables, day: dt.date, p: Prices = Prices()) -> DataFram
     return trend.where(F.col("type") == "Actual").select("month", "tco")
 
 
-def _top_then_days(daily: DataFrame, name: str, n: int) -> DataFrame:
-    """Days of the n heaviest names."""
+def _top_then_days(daily: DataFrame, name: str, n: int | None) -> DataFrame:
+    """Days of the n heaviest names, or of all without a number."""
+    if n is None:
+        return daily
     totals = daily.groupBy(name).agg(F.sum("daily_credits").alias("_total"))
-    # Bounded by n rows.
-    top = F.broadcast(top_rows(totals, n, F.col("_total").desc(), F.col(name)).select(name))
+    top = top_rows(totals, n, F.col("_total").desc(), F.col(name)).select(name)
     return daily.join(top, name, "left_semi")
 
 
 def top_users_daily_credits(
-    tables: Tables, day: dt.date, n: int = 10, user_type: str = "all"
+    tables: Tables, day: dt.date, n: int | None = None, user_type: str = "all"
 ) -> DataFrame:
     name = F.col("user_name")
     service = name.endswith("_SVC") | name.isin(*SERVICE_USERS)
@@ -325,13 +326,13 @@ def top_users_daily_credits(
     return _top_then_days(daily, "user_name", n)
 
 
-def warehouse_daily_credits(tables: Tables, day: dt.date, n: int = 10) -> DataFrame:
+def warehouse_daily_credits(tables: Tables, day: dt.date, n: int | None = None) -> DataFrame:
     daily = _warehouses(tables).where(_since(day, 21)).groupBy(
         "warehouse_name", F.to_date("start_time").alias("usage_date")).agg(_credits().alias("daily_credits"))
     return _top_then_days(daily, "warehouse_name", n)
 
 
-def warehouse_heatmap(tables: Tables, day: dt.date, p: Prices = Prices(), n: int = 10) -> DataFrame:
+def warehouse_heatmap(tables: Tables, day: dt.date, p: Prices = Prices(), n: int | None = None) -> DataFrame:
     return warehouse_daily_credits(tables, day, n).select(
         F.col("warehouse_name").alias("object_name"), F.col("usage_date").alias("date"),
         _round2(F.col("daily_credits") * p.credit).alias("cost_usd"))
@@ -356,7 +357,7 @@ def _load(tables: Tables, cond: Column | None = None) -> DataFrame:
     rows = tables["warehouse_load_history"]
     rows = rows if cond is None else rows.where(cond)
     return rows.groupBy("warehouse_name").agg(
-        F.avg("avg_running").alias("_running"), F.avg("avg_queued_load").alias("_queued"))
+        exact_avg("avg_running").alias("_running"), exact_avg("avg_queued_load").alias("_queued"))
 
 
 def idle_warehouses(
@@ -405,7 +406,7 @@ def hidden_waste_compute(tables: Tables, day: dt.date, p: Prices = Prices()) ->
         size.alias("size"))
 
 
-def hidden_waste_storage(tables: Tables, p: Prices = Prices(), n: int = 50) -> DataFrame:
+def hidden_waste_storage(tables: Tables, p: Prices = Prices(), n: int | None = None) -> DataFrame:
     if "hidden_waste_storage" in tables:
         return tables["hidden_waste_storage"].select(
             "object_name", "waste_type", "size_gb", "days_since_access", "actual_cost_usd",
@@ -489,7 +490,7 @@ def warehouse_cost_efficiency(tables: Tables, p: Prices = Prices()) -> DataFrame
         F.round("_cache", 1).alias("avg_cache_pct"), _round2(F.col("_spill") / _GB).alias("spilled_gb"))
 
 
-def query_attributed_cost(tables: Tables, n: int = 50, p: Prices = Prices()) -> DataFrame:
+def query_attributed_cost(tables: Tables, n: int | None = None, p: Prices = Prices()) -> DataFrame:
     total = _credits("credits_attributed_compute")
     per = tables["query_attribution_history"].where(F.col("query_parameterized_hash").isNotNull()).groupBy(
         F.col("query_parameterized_hash").alias("object_name")).agg(
@@ -499,7 +500,7 @@ def query_attributed_cost(tables: Tables, n: int = 50, p: Prices = Prices()) ->
         "object_name", "queries", *_money_columns(F.col("_c"), p), _round2(F.col("_q")).alias("qas_credits"), "warehouse")
 
 
-def expensive_query_patterns(tables: Tables, n: int = 50) -> DataFrame:
+def expensive_query_patterns(tables: Tables, n: int | None = None) -> DataFrame:
     per = tables["query_history"].where(
         (F.col("execution_status") == "SUCCESS") & F.col("query_hash").isNotNull()
     ).groupBy(F.col("query_hash").alias("object_name")).agg(
@@ -513,7 +514,7 @@ def expensive_query_patterns(tables: Tables, n: int = 50) -> DataFrame:
         "warehouse")
 
 
-def cache_reuse_opportunity(tables: Tables, n: int = 50) -> DataFrame:
+def cache_reuse_opportunity(tables: Tables, n: int | None = None) -> DataFrame:
     shape = F.coalesce("query_parameterized_hash", "query_hash")
     per = tables["query_history"].where(
         (F.col("execution_status") == "SUCCESS") & (F.col("query_type") == "SELECT") & shape.isNotNull()
@@ -560,7 +561,7 @@ def spend_by_warehouse(tables: Tables, p: Prices = Prices()) -> DataFrame:
     return _warehouses(tables).groupBy("warehouse_name").agg(*_money_columns(F.sum("credits_used"), p))
 
 
-def top_warehouses_by_cost(tables: Tables, n: int = 10, p: Prices = Prices()) -> DataFrame:
+def top_warehouses_by_cost(tables: Tables, n: int | None = None, p: Prices = Prices()) -> DataFrame:
     per = _warehouses(tables).groupBy(F.col("warehouse_name").alias("object_name")).agg(_credits().alias("_c"))
     return top_rows(per.where(F.col("_c") > 0), n, F.col("_c").desc(), F.col("object_name")).select(
         "object_name", *_money_columns(F.col("_c"), p))
@@ -704,8 +705,8 @@ def warehouse_cost_profile(tables: Tables, p: Prices = Prices()) -> DataFrame:
 def warehouse_load_profile(tables: Tables, day: dt.date, days: int = 7) -> DataFrame:
     return tables["warehouse_load_history"].where(_since(day, days)).groupBy(
         F.to_date("start_time").alias("date"), F.col("warehouse_name").alias("object_name")).agg(
-        F.round(F.avg("avg_running"), 3).alias("avg_running"),
-        F.round(F.avg("avg_queued_load"), 3).alias("avg_queued_load"))
+        F.round(exact_avg("avg_running"), 3).alias("avg_running"),
+        F.round(exact_avg("avg_queued_load"), 3).alias("avg_queued_load"))
 
 
 def leaderboard_snapshot(tables: Tables, day: dt.date | None = None, p: Prices = Prices()) -> dict[str, DataFrame]:

@@ -464,7 +464,7 @@ def endpoint_efficiency(rows: DataFrame) -> DataFrame:
     )
 
 
-def delta_table_inventory(detail: DataFrame, as_of_month: str, n: int = 20) -> DataFrame:
+def delta_table_inventory(detail: DataFrame, as_of_month: str, n: int | None = None) -> DataFrame:
     """The n largest tables of the current snapshot; codec and file count are what can be acted on."""
     largest = top_rows(detail.where(F.col("table_type") != "VIEW"), n,
                        F.col("size_in_bytes").desc(), F.col("table_name"))

@@ -103,14 +103,14 @@ def tag_key_rank(tag_keys: DataFrame, tags: DataFrame, start: str, end: str) ->
     return costs.join(values, "tag_key_normalized")
 
 
-def tag_value_rank(tags: DataFrame, folded_key: str, start: str, end: str, n: int = 20) -> DataFrame:
+def tag_value_rank(tags: DataFrame, folded_key: str, start: str, end: str, n: int | None = None) -> DataFrame:
     per = in_range(tags, start, end).where(fold_tag_key(F.col("tag_key")) == folded_key).groupBy("tag_value").agg(
         F.sum("gross_cost").alias("net_cost"))
     return top_rows(per, n, F.col("net_cost").desc_nulls_last(), F.col("tag_value"))
 
 
 def redshift_tag_rank(
-    sku_tags: DataFrame, resources: DataFrame, start: str, end: str, folded_key: str | None = None, n: int = 20
+    sku_tags: DataFrame, resources: DataFrame, start: str, end: str, folded_key: str | None = None, n: int | None = None
 ) -> DataFrame:
     """Folded tag keys of one service family's SKUs, or the top values of one key."""
     scope = resources.where(F.col("service_name").isin(*REDSHIFT_SERVICES)).select("sku_id").distinct()
@@ -281,7 +281,7 @@ def credits_detail(view: DataFrame, start: str, end: str) -> DataFrame:
         F.sum("net_cost").alias("net_cost"), F.sum("line_count").alias("line_count"))
 
 
-def latest_month_movers(mom: DataFrame, end: str, as_of: str, n: int = 20) -> DataFrame:
+def latest_month_movers(mom: DataFrame, end: str, as_of: str, n: int | None = None) -> DataFrame:
     """Largest SKUs of the newest complete month, with their change."""
     done = mom.where((F.col("charge_month") <= _month(end)) & (F.col("charge_month") < F.trunc(_month(as_of), "MM")))
     newest = broadcast_single(done.agg(F.max("charge_month").alias("charge_month")))
@@ -290,7 +290,7 @@ def latest_month_movers(mom: DataFrame, end: str, as_of: str, n: int = 20) -> Da
         "sku_id", "charge_month", "net_cost", "cost_delta", "cost_pct_change")
 
 
-def sku_compare(skus: DataFrame, month: str, n: int = 20) -> DataFrame:
+def sku_compare(skus: DataFrame, month: str, n: int | None = None) -> DataFrame:
     """Two-month SKU comparison straight from the SKU view."""
     prior = _prior(month)
     rows = skus.where(F.col("charge_month").isin(dt.date.fromisoformat(month), dt.date.fromisoformat(prior)))
@@ -319,12 +319,12 @@ def sku_movers(mom: DataFrame, month: str) -> DataFrame:
         F.col("cost_delta").cast("double").alias("cost_delta"), "cost_pct_change")
 
 
-def _largest(movers: DataFrame, n: int) -> DataFrame:
+def _largest(movers: DataFrame, n: int | None) -> DataFrame:
     return top_rows(movers, n, F.abs("cost_delta").desc(), F.col("provider_name"), F.col("driver"))
 
 
 def cross_provider_movers(
-    services: DataFrame, mom: DataFrame, month: str, n: int = 8, exclude_credits: bool = False,
+    services: DataFrame, mom: DataFrame, month: str, n: int | None = None, exclude_credits: bool = False,
     sku_provider: str = "Databricks",
 ) -> DataFrame:
     """Largest absolute changes over all providers, each at its natural grain."""
@@ -352,7 +352,7 @@ def spend_alert(months: DataFrame, start: str, end: str, as_of: str) -> DataFram
         F.when(~silent, F.col("prior_net")).alias("prior_net"))
 
 
-def alert_movers(services: DataFrame, mom: DataFrame, month: str, n: int = 10) -> DataFrame:
+def alert_movers(services: DataFrame, mom: DataFrame, month: str, n: int | None = None) -> DataFrame:
     """The n largest changes of each provider."""
     from tallyspark.operators.frame import ranked
 
@@ -498,7 +498,7 @@ def provider_history(
 
 
 def home_movers(
-    movers: DataFrame, storage: DataFrame, compute: DataFrame, month: str, n: int = 8,
+    movers: DataFrame, storage: DataFrame, compute: DataFrame, month: str, n: int | None = None,
     account_compute: DataFrame | None = None,
 ) -> DataFrame:
     """Largest movers with mapped infrastructure as its own drivers; one slot kept for account compute."""
@@ -518,7 +518,7 @@ def home_movers(
     if account_compute is None:
         return _largest(union_all(parts), n)
     reserved = delta_row(account_compute, "cost", "Snowflake", "Compute", "Compute")
-    return _largest(union_all(parts), n - 1).unionByName(reserved)
+    return _largest(union_all(parts), None if n is None else n - 1).unionByName(reserved)
 
 
 def managed_clusters(compute: DataFrame) -> DataFrame:

@@ -40,13 +40,20 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def top_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """Global top n; Spark keeps n rows per partition before merging."""
-    return df.orderBy(*order).limit(n)
+def top_rows(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    """Global top n (Spark keeps n rows per partition before merging), or all rows without a number."""
+    return df if n is None else df.orderBy(*order).limit(n)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """First n rows of each key."""
+def exact_avg(c: str) -> Column:
+    """Average of a double by its exact decimal sum, so that the order of summation never decides a rounding."""
+    return ratio(F.sum(F.col(c).cast("decimal(18,6)")), F.count(c))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], n: int | None = 1) -> DataFrame:
+    """First n rows of each key, or all rows without a number."""
+    if n is None:
+        return df
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy(*order)

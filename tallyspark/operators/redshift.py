@@ -121,18 +121,21 @@ def capped_window(start: str, end: str, days: int = 7) -> tuple[str, str]:
 
 def query_patterns(
     queries: DataFrame, wlm: DataFrame, report: DataFrame, users: DataFrame, start: str, end: str,
-    min_seconds: int = 30, top_n: int = 200, prefix: int = 160,
-    context_header: tuple[int, str, int] = (102, "-- Looker Query Context", 144),
+    min_seconds: int = 0, top_n: int | None = None, prefix: int | None = None,
+    context_header: tuple[int, str, int] | None = None,
 ) -> DataFrame:
-    """The heaviest query shapes with their spill and skew distribution.
+    """Query shapes with their spill and skew distribution, the heaviest *top_n* if that is given.
 
-    The top shapes are chosen first; only their queries reach the detail tables. Queries of the
-    *context_header* user that start with its header are keyed on the text after the header.
+    A shape is the whole text, or its first *prefix* characters. With *context_header* (user, header,
+    first character of the body) that user's queries with the header are keyed on the text after it.
+    With *top_n* the shapes are chosen first and only their queries reach the detail tables.
     """
-    header_user, header, body_at = context_header
-    headed = (F.col("userid") == header_user) & F.col("querytxt").startswith(header)
-    shape = F.when(headed, F.substring("querytxt", body_at, prefix)).otherwise(
-        F.substring("querytxt", 1, prefix))
+    text = F.col("querytxt")
+    shape = text if prefix is None else F.substring(text, 1, prefix)
+    if context_header is not None:
+        header_user, header, body_at = context_header
+        body = F.substr(text, F.lit(body_at)) if prefix is None else F.substring(text, body_at, prefix)
+        shape = F.when((F.col("userid") == header_user) & text.startswith(header), body).otherwise(shape)
     seconds = F.timestamp_diff("SECOND", F.col("starttime"), F.col("endtime"))
     base = (
         _user_queries(queries, start, end).withColumn("_seconds", seconds)
@@ -144,8 +147,7 @@ def query_patterns(
         F.max_by(F.struct(F.col("query").alias("sample_query_id"), F.col("starttime").alias("last_seen_at"),
                           F.trim("querytxt").alias("sample_query_text"), "userid"),
                  F.struct("starttime", "query")).alias("_sample"))
-    # Bounded by top_n rows.
-    top = F.broadcast(top_rows(patterns, top_n, F.col("_total").desc(), F.col("qry_md5")))
+    top = top_rows(patterns, top_n, F.col("_total").desc(), F.col("qry_md5"))
     candidates = base.select("query", "userid", "qry_md5").join(top.select("qry_md5"), "qry_md5", "left_semi")
     on_disk = F.col("is_diskbased") == "t"
     spill = report.join(candidates.select("query"), "query", "left_semi").groupBy("query").agg(
@@ -196,7 +198,7 @@ def pattern_records(patterns: DataFrame, cluster: str, month: str) -> DataFrame:
 
 def user_activity(
     queries: DataFrame, metrics: DataFrame, report: DataFrame, users: DataFrame, start: str, end: str,
-    compute_cost: float, top_n: int = 50,
+    compute_cost: float, top_n: int | None = None,
 ) -> DataFrame:
     """Heaviest users with their share of all execution time; the total is taken before the cut."""
     q = _user_queries(queries, start, end).select("query", "userid")
@@ -289,7 +291,7 @@ def table_workload_share(scans: DataFrame, wlm: DataFrame, start: str, end: str)
 
 def table_inventory_rows(
     tables: DataFrame, workload: DataFrame, owners: DataFrame, as_of: str, cluster: str, month: str,
-    top_n: int = 5000,
+    top_n: int | None = None,
 ) -> DataFrame:
     """Largest tables with their workload, owner and idle days."""
     largest = top_rows(tables, top_n, F.col("size_mb").desc_nulls_last(), F.col("table_id"))

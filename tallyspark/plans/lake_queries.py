@@ -245,8 +245,8 @@ def _runs(s, f):
     return dt.plane(s, f, "run_log").withColumnRenamed("rows_written", "rows")
 
 
-query("k13_run_history")(lambda s, f: lake.run_history(_runs(s, f)).drop("started_at", "finished_at", "detail"))
-query("k13_run_groups")(lambda s, f: lake.run_groups(_runs(s, f)).withColumn("started_at", F.to_date("started_at")).withColumn(
+query("k13_run_history")(lambda s, f: lake.run_history(_runs(s, f), 50).drop("started_at", "finished_at", "detail"))
+query("k13_run_groups")(lambda s, f: lake.run_groups(_runs(s, f), 20).withColumn("started_at", F.to_date("started_at")).withColumn(
     "finished_at", F.to_date("finished_at")))
 
 # --- catalog -----------------------------------------------------------------------------------------------

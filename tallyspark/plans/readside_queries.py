@@ -88,11 +88,11 @@ _d("d16_cost_subcategory_split", lambda s, f: dd.cost_subcategory_split(
     view("spend_by_cost_subcategory_month", AWS)(s, f), START, END))
 _d("d16_credits_detail", lambda s, f: dd.credits_detail(view("credits_month", AWS)(s, f), START, END))
 _d("d17_latest_month_movers", lambda s, f: dd.latest_month_movers(
-    view("sku_month_over_month", DBX)(s, f), "2005-01-01", AS_OF))
-_d("d17_sku_compare", lambda s, f: dd.sku_compare(view("spend_by_sku_month", AWS)(s, f), MONTH))
+    view("sku_month_over_month", DBX)(s, f), "2005-01-01", AS_OF, 20))
+_d("d17_sku_compare", lambda s, f: dd.sku_compare(view("spend_by_sku_month", AWS)(s, f), MONTH, 20))
 _d("d18_spend_alert", lambda s, f: dd.spend_alert(view("monthly_bill")(s, f), "1998-01-15", "1998-06-30", AS_OF))
 _d("d18_alert_movers", lambda s, f: dd.alert_movers(
-    view("spend_by_service_month")(s, f), view("sku_month_over_month")(s, f), MONTH))
+    view("spend_by_service_month")(s, f), view("sku_month_over_month")(s, f), MONTH, 10))
 
 
 def _movers(s, f, n=8):
@@ -187,7 +187,7 @@ def _d36(s, f):
     account = au_src.tables(s, f)["warehouse_metering_history"].groupBy(
         F.add_months(F.trunc(F.to_date("start_time"), "MM"), -306).alias("charge_month")).agg(
         (F.sum("credits_used").cast("double") * 4.0).alias("cost"))
-    return dd.home_movers(_movers(s, f, 32), planes.backing_storage(s, f), planes.backing_compute(s, f), MONTH, 8, account)
+    return dd.home_movers(_movers(s, f, None), planes.backing_storage(s, f), planes.backing_compute(s, f), MONTH, 8, account)
 
 
 _AI = view("ai_spend_month")

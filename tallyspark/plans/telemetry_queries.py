@@ -135,7 +135,7 @@ def _t17(spark, sf):
 
 @query("t18_delta_table_inventory")
 def _t18(spark, sf):
-    return db.delta_table_inventory(dt.plane(spark, sf, "db_table_detail"), MONTH)
+    return db.delta_table_inventory(dt.plane(spark, sf, "db_table_detail"), MONTH, 20)
 
 
 @query("t19_compute_instance_month")
@@ -178,7 +178,8 @@ def _t24(spark, sf):
 
 def patterns(spark, sf):
     planes = [dt.plane(spark, sf, n) for n in ("stl_query", "stl_wlm_query", "svl_query_report", "pg_user")]
-    return rs.query_patterns(*planes, *WINDOW)
+    return rs.query_patterns(
+        *planes, *WINDOW, min_seconds=30, top_n=200, prefix=160, context_header=(102, "-- Looker Query Context", 144))
 
 
 @query("t25_query_patterns")
@@ -189,7 +190,7 @@ def _t25(spark, sf):
 def user_activity(spark, sf):
     planes = [dt.plane(spark, sf, n) for n in
               ("stl_query", "svl_query_metrics_summary", "svl_query_report", "pg_user")]
-    return rs.user_activity(*planes, *WINDOW, compute_cost=1000.0)
+    return rs.user_activity(*planes, *WINDOW, compute_cost=1000.0, top_n=50)
 
 
 query("t26_user_activity")(user_activity)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -37,6 +38,12 @@ class Folder:
                 out[found[1]] = f"{path}/{name}"
         return out
 
+    def values(self, path: str, key: str) -> dict[str | None, str]:
+        """Like `partitions`, by the values before they were escaped for a folder's name; null for the default folder."""
+        return {
+            None if value == "__HIVE_DEFAULT_PARTITION__" else unquote(value): folder
+            for value, folder in self.partitions(path, key).items()}
+
     def remove(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
@@ -50,8 +57,14 @@ class Folder:
 def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder in the shared location the cluster names, for tables written between steps.
 
-    Only without that setting (a single machine, as in tests) is a local folder made.
+    Without that setting only a session on a single machine, as in tests, gets a folder of its own; a cluster's
+    executors could not see it, so there it is an error. The folder is removed when the driver ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
     root = shared or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{root.rstrip('/')}/tallyspark/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/tallyspark/{label}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from tallyspark.operators.frame import top_rows
 from tallyspark.operators.mapping import assert_single_currency, dedupe_exact
 from tallyspark.sinks.files import Folder
 
@@ -82,15 +83,16 @@ def replace_partitions(df: DataFrame, root: str, keys: list[str]) -> None:
      .option("compression", "zstd").partitionBy(*keys).parquet(root))
 
 
-def _drop_window(spark: SparkSession, root: str, keys: list[str], owners: list[tuple], months: list[str]) -> None:
-    """Remove the month partitions below each owner's key path."""
-    folder = Folder(spark, root)
-    for owner in owners:
-        path = folder.root + "".join(f"/{k}={v}" for k, v in zip(keys[:-1], owner))
-        found = folder.partitions(path, keys[-1])
-        for month in months:
-            if month in found:
-                folder.remove(found[month])
+def _months_of(folder: Folder, keys: list[str], owners: list[tuple] | None, months: list[str]) -> dict[tuple, str]:
+    """(owner names..., month) -> folder below the root, by the names that the folders stand for; of all owners without a list."""
+    found = {(): folder.root}
+    for depth, key in enumerate(keys):
+        wanted = None if owners is None else {owner[: depth + 1] for owner in owners}
+        found = {
+            (*names, value): path
+            for names, parent in found.items() for value, path in folder.values(parent, key).items()
+            if (value in months if depth == len(keys) - 1 else wanted is None or (*names, value) in wanted)}
+    return found
 
 
 def write_efficiency(
@@ -118,13 +120,21 @@ def _write_window(spark, root, rows, keys, start, end, owners) -> None:
     if owners is None:
         # Owner names (providers, connectors), not data.
         owners = [tuple(r) for r in scoped.select(*keys[:-1]).distinct().collect()]
+    # Null and empty names share a folder.
+    owners = [tuple(name or None for name in owner) for owner in owners]
+    # Written once beside the table; then each month's folder takes the place of the old one.
     staging = _stage(scoped, root, keys)
     folder = Folder(spark, root)
     try:
-        _drop_window(spark, root, keys, owners, months)
-        staged = spark.read.parquet(staging) if folder.children(staging) else None
-        if staged is not None:
-            replace_partitions(staged, root, keys)
+        staged = Folder(spark, staging)
+        old = _months_of(folder, keys, owners, months)
+        fresh = _months_of(staged, keys, None, months)
+        for names, path in fresh.items():
+            if names in old:
+                folder.remove(old.pop(names))
+            folder.move(path, folder.root + path.removeprefix(staged.root))
+        for path in old.values():
+            folder.remove(path)
     finally:
         folder.remove(staging)
 
@@ -176,6 +186,14 @@ def provider_group(provider: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(provider), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
+def _one_name_per_group(rows: DataFrame) -> None:
+    """Refuse providers whose names fold to the same folder: their rows would be merged silently."""
+    names = rows.groupBy("provider_group").agg(F.collect_set("provider_name").alias("names"))
+    clash = names.where((F.size("names") > 1) | (F.col("provider_group") == "")).first()
+    if clash:
+        raise ValueError(f"providers {sorted(clash['names'])} cannot share the group {clash['provider_group']!r}")
+
+
 def discover_providers(bill: DataFrame) -> DataFrame:
     names = bill.where(F.coalesce("provider_name", F.lit("")) != "").select("provider_name").distinct()
     return names.orderBy("provider_name")
@@ -195,7 +213,9 @@ def publish_gold(
     try:
         for name, view in provider_views.items():
             path = f"{staging}/by_provider/{name}"
-            rows = view.withColumn("provider_group", provider_group(F.col("provider_name")))
+            named = view.where(F.trim(F.coalesce("provider_name", F.lit(""))) != "")
+            rows = named.withColumn("provider_group", provider_group(F.col("provider_name")))
+            _one_name_per_group(rows)
             rows.hint("rebalance", "provider_group").write.option("compression", "zstd").partitionBy("provider_group").parquet(path)
             for group, part in folder.partitions(path, "provider_group").items():
                 produced[f"{group}/{name}"] = part
@@ -227,14 +247,15 @@ def append_runs(rows: DataFrame, root: str) -> None:
     rows.write.mode("append").option("compression", "zstd").parquet(root)
 
 
-def run_history(runs: DataFrame, n: int = 50) -> DataFrame:
-    return runs.orderBy(F.col("finished_at").desc(), F.col("run_id"), F.col("connector")).limit(n)
+def run_history(runs: DataFrame, n: int | None = None) -> DataFrame:
+    """Runs of every connector, the n newest if a number is given."""
+    return top_rows(runs, n, F.col("finished_at").desc(), F.col("run_id"), F.col("connector"))
 
 
-def run_groups(runs: DataFrame, n: int = 20) -> DataFrame:
-    """One row per run with its span, rows and worst status; newest first."""
+def run_groups(runs: DataFrame, n: int | None = None) -> DataFrame:
+    """One row per run with its span, rows and worst status; the n newest if a number is given."""
     grouped = runs.groupBy("run_id").agg(
         F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"), F.sum("rows").alias("rows"),
         F.count("connector").alias("connectors"),
         F.when(F.bool_or(F.col("status") == "failed"), "failed").otherwise("success").alias("status"))
-    return grouped.orderBy(F.col("finished_at").desc(), F.col("run_id")).limit(n)
+    return top_rows(grouped, n, F.col("finished_at").desc(), F.col("run_id"))

@@ -113,13 +113,14 @@ def test_shared_bucket_does_not_multiply_cost(spark):
 def test_context_header_is_skipped_for_its_user(spark):
     t = dt.datetime
     head = "-- Looker Query Context ".ljust(143)
-    rows = [(1, 102, t(2024, 5, 1), t(2024, 5, 1, 1), head + "select 1"), (2, 102, t(2024, 5, 1), t(2024, 5, 1, 1), head.replace("Context", "Context") + "select 1"),
+    rows = [(1, 102, t(2024, 5, 1), t(2024, 5, 1, 1), head + "select 1"), (2, 102, t(2024, 5, 1), t(2024, 5, 1, 1), head + "select 1"),
             (3, 7, t(2024, 5, 1), t(2024, 5, 1, 1), "select 1")]
     q = spark.createDataFrame(rows, "query bigint, userid int, starttime timestamp, endtime timestamp, querytxt string")
     wlm = spark.createDataFrame([], "query bigint, total_exec_time bigint, total_queue_time bigint")
     rep = spark.createDataFrame([], "query bigint, is_diskbased string, bytes bigint, workmem bigint, rows_out bigint")
     users = spark.createDataFrame([(102, "bi"), (7, "me")], "usesysid int, usename string")
-    out = redshift.query_patterns(q, wlm, rep, users, "2024-05-01", "2024-05-31").collect()
+    out = redshift.query_patterns(
+        q, wlm, rep, users, "2024-05-01", "2024-05-31", context_header=(102, "-- Looker Query Context", 144)).collect()
     assert len(out) == 1 and out[0]["run_count"] == 3 and out[0]["top_user"] == "bi"
 
 
@@ -130,10 +131,25 @@ def test_log_window_is_capped(start, end, want):
 
 @pytest.mark.parametrize("sql", [
     "delete from v", "select 1; select 2", "select * from parquet.`/etc`", "with x as (select 1) insert into v select * from x",
-    "select java_method('java.lang.System','exit',0)", "select * from silver.x", "select * from read_files('/x')", "drop table v"])
+    "select java_method('java.lang.System','exit',0)", "select * from silver.x", "select * from read_files('/x')", "drop table v",
+    "select * from v) as q --", "select * from parquet/**/.`/etc`", "select * from session_table", "select * from default.v", "show tables",
+    "select (select count(*) from session_table) as n from v", "select * from v where a in (select a from session_table)",
+    "with x as (select * from session_table) select * from x", "select * from range(5)", "select * from v where exists (select 1 from json.`/x`)"])
 def test_guard_rejects(spark, sql):
     with pytest.raises(catalog.QueryError):
-        catalog.run_select(spark, {}, sql)
+        catalog.run_select(spark, {"v": spark.range(3).toDF("a")}, sql)
+
+
+def test_guard_passes_queries(spark):
+    spark.range(1).createOrReplaceTempView("session_table")
+    views = {"v": spark.range(2000).selectExpr("id as a", "'load set; cache' as t"), "w": spark.range(3).toDF("a")}
+    run = lambda sql, **k: catalog.run_select(spark, views, sql, **k)
+    assert run("select * from v").count() == 2000
+    assert run("select * from v where t = 'load set; cache' -- drop", limit=5).count() == 5
+    sql = """with x as (select a from v), y as (select a from x where a in (select a from w))
+      select y.a, sum(w.a) over (partition by y.a) as s, (select max(a) from w) as m from y join w on y.a = w.a order by 1 limit 2"""
+    assert [tuple(r) for r in run(sql).collect()] == [(0, 0, 2), (1, 1, 2)]
+    assert not spark.catalog.tableExists("w")
 
 
 def test_query_view_checks_names_and_direction(spark):

@@ -145,3 +145,27 @@ def test_record_type_keeps_corrections_apart(spark):
     rows = [("2024-05-02", "5", "r1", t) for t in ("ORIGINAL", "RETRACTION", "ORIGINAL")]
     export = spark.createDataFrame(rows, "ChargePeriodStart string, BilledCost string, x_RecordId string, x_RecordType string")
     assert mapping.map_focus_to_bronze(export, "c", "r").count() == 2
+
+
+def _months(spark, root):
+    return [(r.provider_name, r.charge_month) for r in spark.read.parquet(root).select("provider_name", "charge_month").distinct().collect()]
+
+
+@pytest.mark.parametrize("provider", ["A:B/c=d%e", "AB", "", None])
+def test_monthly_plane_drops_months_that_are_gone(spark, tmp_path, provider):
+    root = str(tmp_path / "plane")
+    rows = lambda *m: spark.createDataFrame([(provider, x, 1) for x in m] + [("other", "2024-02", 1)], "provider_name string, charge_month string, n int")
+    lake.write_monthly_plane(spark, root, rows("2024-01", "2024-02"), "2024-01-01", "2024-02-28")
+    lake.write_monthly_plane(spark, root, rows("2024-01"), "2024-01-01", "2024-02-28")
+    assert len(_months(spark, root)) == 2
+    lake.write_monthly_plane(spark, root, rows("2024-03"), "2024-03-01", "2024-03-31")
+    assert len(_months(spark, root)) == 3
+
+
+def test_gold_leaves_out_nameless_providers_and_refuses_clashes(spark, tmp_path):
+    view = spark.createDataFrame([("AWS", 1), (None, 2), ("", 3), (" ", 4)], "provider_name string, n int")
+    assert lake.publish_gold(spark, str(tmp_path / "gold"), {"bill": view}, {}) == ["aws/bill"]
+    clash = spark.createDataFrame([("A B", 1), ("a-b", 2)], "provider_name string, n int")
+    with pytest.raises(ValueError):
+        lake.publish_gold(spark, str(tmp_path / "gold"), {"bill": clash}, {})
+    assert spark.read.parquet(str(tmp_path / "gold/aws/bill")).count() == 1
