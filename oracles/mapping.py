@@ -85,8 +85,9 @@ def newest(table: str, key: str, name: str, when: str) -> str:
             f"FROM {table}) WHERE i = 1)")
 
 
-_PRICE = ("LEFT JOIN db_prices pr ON pr.sku_name = u.sku_name AND pr.cloud = u.cloud AND pr.price_start_time <= usage_end_time "
-          "AND (pr.price_end_time IS NULL OR pr.price_end_time > usage_end_time)")
+_RATE = ("LEFT JOIN (SELECT * FROM db_prices WHERE cloud = 'AWS') pr ON pr.sku_name = u.sku_name AND pr.account_id = u.account_id "
+         "AND pr.usage_unit = u.usage_unit AND pr.price_start_time <= usage_end_time "
+         "AND (pr.price_end_time IS NULL OR pr.price_end_time > usage_end_time)")
 _URL = """
 SELECT url, CASE WHEN url LIKE 'dbfs:%' THEN 'dbfs' ELSE lower(split_part(url, '://', 1)) END AS scheme,
   CASE lower(split_part(url, '://', 1)) WHEN 's3' THEN 'AWS' WHEN 's3a' THEN 'AWS' WHEN 'gs' THEN 'Google Cloud' WHEN 'abfss' THEN 'Microsoft' END AS cloud_provider_name,
@@ -131,7 +132,7 @@ SELECT workspace_name AS SubAccountName, date_trunc('month', usage_date)::DATE A
   CASE WHEN p = 'INTERACTIVE' AND contains(sku_name, 'SERVERLESS') THEN 'Serverless Compute' ELSE coalesce(f.su, 'Other (Other)') END AS ServiceSubcategory,
   sku_name AS SkuId, CAST(json_merge_patch('{{}}', json_object('x_is_photon', is_photon::VARCHAR, 'x_jobs_tier', jobs_tier)) AS VARCHAR) AS SkuPriceDetails,
   sum(ifnull(usage_quantity * price, 0)) AS cost, sum(ifnull(usage_quantity * price, 0)) AS list_cost, count(*) AS n
-FROM (SELECT u.*, billing_origin_product AS p, price, pn.name AS pn, cn.cluster_name AS cn, wn.warehouse_name AS wn, workspace_name FROM db_usage u {_PRICE}
+FROM (SELECT u.*, billing_origin_product AS p, price, pn.name AS pn, cn.cluster_name AS cn, wn.warehouse_name AS wn, workspace_name FROM db_usage u {_RATE}
  LEFT JOIN db_workspaces ws ON ws.workspace_id = u.workspace_id
  LEFT JOIN {newest('db_pipelines', 'pipeline_id', 'name', 'create_time')} pn ON pn.workspace_id = u.workspace_id AND pn.pipeline_id = u.dlt_pipeline_id
  LEFT JOIN {newest('db_clusters', 'cluster_id', 'cluster_name', 'change_time')} cn ON cn.workspace_id = u.workspace_id AND cn.cluster_id = u.cluster_id

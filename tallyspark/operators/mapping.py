@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from tallyspark.functions import coerce, labels
-from tallyspark.operators.databricks import _valid_price, price_windows
 from tallyspark.operators.frame import latest_by_key, union_all
 from tallyspark.schemas import BILL
 
@@ -270,6 +269,21 @@ def _product_fact(position: int, default: Column) -> Column:
     return out
 
 
+def _rated(usage: DataFrame, prices: DataFrame, name: str) -> DataFrame:
+    """Usage with the USD price of its account, SKU and unit that is valid at its end; NULL without one.
+
+    Prices keep their decimals. The price list is one row per account, SKU, unit and validity, so no usage row doubles.
+    """
+    p = prices.where(F.col("currency_code") == "USD").select(
+        F.col("account_id").alias("_account"), F.col("sku_name").alias("_sku"), F.col("usage_unit").alias("_unit"),
+        F.col("pricing.default").cast("decimal(30,15)").alias(name), F.col("price_start_time").alias("_from"),
+        F.col("price_end_time").alias("_to"))
+    end = F.col("usage_end_time")
+    valid = (end >= F.col("_from")) & (F.col("_to").isNull() | (end < F.col("_to")))
+    same = (F.col("account_id") == F.col("_account")) & (F.col("sku_name") == F.col("_sku")) & (F.col("usage_unit") == F.col("_unit"))
+    return usage.join(p, same & valid, "left").drop("_account", "_sku", "_unit", "_from", "_to")
+
+
 def map_databricks_usage(
     usage: DataFrame, list_prices: DataFrame, account_prices: DataFrame, workspaces: DataFrame,
     pipelines: DataFrame, clusters: DataFrame, warehouses: DataFrame, region: str | None = None,
@@ -290,8 +304,7 @@ def map_databricks_usage(
             df["usage_metadata"][field] == dim[f"_{key}"])
         return df.join(dim, cond, "left").drop(dim["account_id"], dim["workspace_id"], dim[f"_{key}"])
 
-    rows = _valid_price(usage, price_windows(list_prices), "sku_name", "_list")
-    rows = _valid_price(rows, price_windows(account_prices), "sku_name", "_rate")
+    rows = _rated(_rated(usage, list_prices, "_list"), account_prices, "_rate")
     rows = rows.join(workspaces.select(*keys, "workspace_name"), keys, "left")
     rows = join_names(rows, names(pipelines, "pipeline_id", "name", "pipeline_name", "create_time"), "pipeline_id", "dlt_pipeline_id")
     rows = join_names(rows, names(clusters, "cluster_id", "cluster_name", "cluster_name", "change_time"), "cluster_id", "cluster_id")

@@ -69,7 +69,11 @@ query("m13_map_snowflake_usage")(lambda s, f: mapping.map_snowflake_usage(
 
 @query("m14_map_databricks_usage")
 def _m14(s, f):
-    prices = tt.nested_prices(s, f)
+    # One price per account, SKU, unit and validity; another account and another unit have their own.
+    own = tt.nested_prices(s, f).where(F.col("cloud") == "AWS")
+    dearer = F.struct((F.col("pricing.default") * 2).alias("default"))
+    prices = own.unionByName(own.withColumn("account_id", F.lit("acc-2")).withColumn("pricing", dearer)).unionByName(
+        own.withColumn("usage_unit", F.lit("GB")).withColumn("pricing", dearer))
     planes = [dt.plane(s, f, n) for n in ("db_workspaces", "db_pipelines")]
     return mapping.map_databricks_usage(
         tt.nested_usage(s, f), prices, prices, *planes, tt.nested_clusters(s, f), tt.nested_warehouses(s, f), "us-east-1",
