@@ -15,6 +15,8 @@ from tokenizers.pre_tokenizers import Split
 
 # How byte-level tokenizers split text into words when the file only says "use_regex".
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same split without backtracking over long runs.
+BYTE_LEVEL_POSSESSIVE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 CACHED_WORDS = 1 << 19
 CACHED_LENGTH = 48

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyspark.llm.bpe import PrefixCodec, encode_documents
-from tallyspark.llm.packing import _dominant, _Stock, pack_documents, pack_lengths
+from tallyspark.llm.packing import Encoder, _dominant, _Stock, pack_documents, pack_lengths
 from tallyspark.llm.token_count import MergeCounter, count_tokens
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,13 @@ def codec():
     return PrefixCodec(WORD)
 
 
+@pytest.fixture(scope="module")
+def encoder():
+    made = Encoder(BYTE)
+    assert made.fast is not None
+    return made
+
+
 WORDS = st.lists(
     st.one_of(st.text(max_size=12), st.sampled_from(["'s", "'ll", " ", "  ", "\n", "the", "ing", "<|endoftext|>", "<|startoftext|>", "Σ", "12"])),
     max_size=25).map("".join)
@@ -49,13 +56,22 @@ WORDS = st.lists(
 
 @settings(max_examples=300, deadline=None)
 @given(text=WORDS)
-def test_library_agrees(byte_tokenizer, word_tokenizer, counter, codec, text):
-    assert counter.count(text) == len(byte_tokenizer.encode(text, add_special_tokens=False).ids)
+def test_library_agrees(byte_tokenizer, word_tokenizer, counter, codec, encoder, text):
+    ids = byte_tokenizer.encode(text, add_special_tokens=False).ids
+    assert counter.count(text) == len(ids)
+    assert encoder(text) == struct.pack(f"<{len(ids)}I", *ids)
     ids = word_tokenizer.encode(text, add_special_tokens=False).ids
     assert codec.encode(text) == ids
     assert codec.decode(ids) == word_tokenizer.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", [" " * 300_000, "\n" * 300_000 + "x", "a" * 100_000, "!?" * 50_000, "1" * 70_000, " a" * 70_000])
+def test_long_runs(byte_tokenizer, counter, encoder, text):
+    ids = byte_tokenizer.encode(text, add_special_tokens=False).ids
+    assert counter.count(text) == len(ids)
+    assert encoder(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _frame(spark, texts):
     return spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(texts)] + [(None, "twice", "", "", 0)] * 2, SCHEMA)
 
