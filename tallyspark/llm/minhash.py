@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -90,20 +90,20 @@ def _signatures(rows: DataFrame, words: int, bands: int, band_rows: int) -> Data
     return rows.mapInArrow(run, f"_row long, doc_id {kind}, n long, digest binary, bands array<long>")
 
 
-def _bits(items: np.ndarray) -> bytes:
+def _bits(items: np.ndarray) -> np.ndarray:
     """A bit per item by its hash, in a power of two of bits, at least eight for each item."""
     size = max(64, 1 << int(8 * len(items) - 1).bit_length())
     out = np.zeros(size, bool)
     out[(mix(items) & np.uint64(size - 1)).astype(np.int64)] = True
-    return np.packbits(out, bitorder="little").tobytes()
+    return np.packbits(out, bitorder="little").view(np.int64)
 
 
-def most_common(a: bytes, b: bytes, size_a: int, size_b: int) -> int:
+def most_common(x: np.ndarray, y: np.ndarray, size_a: int, size_b: int) -> int:
     """An upper bound of the number of items that two sets share, from their bits.
 
     Every bit that only one set has is an item that the other lacks. Of two lengths the longer one is folded.
     """
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = x.view(np.uint64), y.view(np.uint64)
     size = min(len(x), len(y))
     x, y = np.bitwise_or.reduce(x.reshape(-1, size)), np.bitwise_or.reduce(y.reshape(-1, size))
     return min(size_a - int(np.bitwise_count(x & ~y).sum()), size_b - int(np.bitwise_count(y & ~x).sum()))
@@ -116,10 +116,28 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set((t or "").encode("utf-8"), words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_bits(x) for x in sets], pa.binary()),
+                batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_bits(x) for x in sets], pa.list_(pa.int64())),
                 pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "bits", "items"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, n long, bits binary, items binary")
+    return rows.select("node", "text").mapInArrow(run, "node long, n long, bits array<long>, items binary")
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return np.split(np.asarray(column.flatten()), np.cumsum(np.asarray(column.value_lengths()))[:-1]) if len(column) else []
+
+
+def _may_reach(percent: int) -> Column:
+    """What a join of a node with a pivot can tell from their counts and, if they have equally many, their bits."""
+    def reaches(both: Column) -> Column:
+        return 100 * both >= percent * (F.col("n") + F.col("pivot_n") - both)
+
+    def alone(a: str, b: str) -> Column:
+        bits = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+        return F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+
+    shared = F.least(F.col("n") - alone("bits", "pivot_bits"), F.col("pivot_n") - alone("pivot_bits", "bits"))
+    return reaches(F.least("common", "pivot_common")) & (
+        (F.array_size("bits") != F.array_size("pivot_bits")) | reaches(shared))
 
 
 def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
@@ -128,7 +146,8 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b, n, m in zip(*(batch.column(c).to_pylist() for c in ("bits", "pivot_bits", "n", "pivot_n")), strict=True):
+            sizes = (batch.column(c).to_pylist() for c in ("n", "pivot_n"))
+            for a, b, n, m in zip(_arrays(batch.column("bits")), _arrays(batch.column("pivot_bits")), *sizes, strict=True):
                 both = most_common(a, b, n, m)
                 keep.append(100 * both >= percent * (n + m - both))
             yield batch.select(["node", "pivot"]).filter(pa.array(keep, pa.bool_()))
@@ -137,7 +156,7 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared_sizes(sets: DataFrame) -> DataFrame:
-    """(node, n, common): how many items of each set another of the sets has too."""
+    """(node, n, bits, common): how many items of each set another of the sets has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +166,7 @@ def _shared_sizes(sets: DataFrame) -> DataFrame:
 
     single = sets.select("node", "items").mapInArrow(run, "node long, item long").groupBy("item").agg(
         F.count(F.lit(1)).alias("sets"), F.min("node").alias("node")).where("sets = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    return sets.select("node", "n").join(single, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    return sets.select("node", "n", "bits").join(single, "node", "left").select("node", "n", "bits", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +204,7 @@ def near_duplicates(
     all pairs between components are decided, without listing all pairs. First all are compared with the
     bucket's smallest node; links found anywhere merge components, which finishes most buckets. In those still
     open, a set can share at most the items that another open set has too: nodes and pairs for which that is too
-    little are decided by counting. For the rest some nodes of each bucket are pivots and the nodes of other
+    little are decided by counting, and so are pairs by a bit per item. For the rest some nodes of each bucket are pivots and the nodes of other
     components are compared with those only; their number grows eightfold from round to round, so a bucket of
     many unlinked nodes takes a logarithmic number of rounds. Before two sets move they have to pass a bound
     from a bit per item, which never rules out a link.
@@ -226,19 +245,17 @@ def near_duplicates(
     pivots_each = 8
     while True:
         # All but the component with most nodes have to be compared; what stays undecided is one component.
-        left = stored(undecided(labels, left).select("key", "node", "n", "common", "label"), "near-left")
+        left = stored(undecided(labels, left).select("key", "node", "n", "bits", "common", "label"), "near-left")
         main = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(
             F.max(F.struct("size", "label")).alias("most"))
         order = Window.partitionBy("key").orderBy("node")
         chosen = stored(
             left.join(main, "key").where("label <> most.label").withColumn("nth", F.row_number().over(order))
             .where(F.col("nth") <= pivots_each).select(
-                "key", *(F.col(c).alias(f"pivot_{c}") for c in ("n", "common", "label")), F.col("node").alias("pivot")), "near-pivots")
+                "key", *(F.col(c).alias(f"pivot_{c}") for c in ("n", "bits", "common", "label")), F.col("node").alias("pivot")), "near-pivots")
         if chosen.isEmpty():
             break
-        both = F.least("common", "pivot_common")
-        met = (left["key"] == chosen["key"]) & (F.col("label") != F.col("pivot_label")) & (
-            100 * both >= percent * (F.col("n") + F.col("pivot_n") - both))
+        met = (left["key"] == chosen["key"]) & (F.col("label") != F.col("pivot_label")) & _may_reach(percent)
         found = links(left.join(chosen, met).select("node", "pivot").distinct())
         if not found.isEmpty():
             labels = star_components(
