@@ -161,7 +161,7 @@ SELECT * FROM d WHERE warehouse_name IN (SELECT warehouse_name FROM d GROUP BY 1
     "a14_idle_warehouses": fin(idle("true")),
     "a14_idle_warehouses_filtered": fin(idle(RANGE)),
     "a15_hidden_waste_compute": fin("SELECT * FROM hwc"),
-    "a16_hidden_waste_storage_all": fin("""SELECT * FROM hws WHERE object_name IN (
+    "a16_hidden_waste_storage": fin("""SELECT * FROM hws WHERE object_name IN (
  SELECT concat_ws('.', table_catalog, table_schema, table_name) FROM au_table_storage_metrics
  WHERE table_name IS NOT NULL ORDER BY time_travel_bytes + failsafe_bytes DESC, 1 LIMIT 50)"""),
     "a16_hidden_waste_storage_all": fin("SELECT * FROM hws"),
