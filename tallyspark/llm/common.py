@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -39,12 +40,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_row(df: DataFrame, *columns: str, row: str = "_row") -> DataFrame:
-    """Only the named columns and a number per row, the same on every read of a stable table.
+    """Only the named columns and a number per row, the same on every read of one frame, however it is split.
 
-    doc_id may be null or repeated, so steps that come back to a row do it by this number. The input must be
-    a table or a plain read of one: a plan whose row order can change (after a shuffle) has to be stored first.
+    doc_id may be null or repeated, so steps that come back to a row do it by this number: that of its file
+    among the frame's files and its place in that file. `df` is a Parquet table, or columns and filters of one.
     """
-    return df.select(*columns).withColumn(row, F.monotonically_increasing_id())
+    path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = sorted(r[0] for r in df.select(path).distinct().collect())
+    listed = F.from_json(F.lit(json.dumps(files)), "array<string>")
+    numbers = F.broadcast(df.sparkSession.range(0, 1, 1, 1).select(F.posexplode(listed).alias("_file", "_path")))
+    known = F.coalesce(F.col("_file").cast("long"), F.raise_error(F.lit("a file has come since the rows were numbered")).cast("long"))
+    rows = df.select(*columns, path.alias("_path"), place.alias("_place")).join(numbers, "_path", "left")
+    return rows.select(*columns, (F.shiftleft(known, 40) + F.col("_place")).alias(row))
 
 
 def text_of(name: str = "text") -> Column:
