@@ -49,12 +49,15 @@ def _b3(s, f):
         F.count("*").alias("n"), F.sum(F.col("usage_quantity").cast("double")).alias("quantity"))
 
 
+def _bill_key():
+    """Hash over every bill column but those that name the load; NULL and empty differ, and no value runs into the next."""
+    columns = [c for c in schemas.BILL.names if c not in ("dedupe_key", "ingest_run_id", "x_ingested_at")]
+    return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns])), 256)
+
+
 def _bronze(s, f, connectors=("aws", "databricks", "snowflake")):
     root = work_folder(s, "bill")
-    rows = dt.bill(s, f).withColumn("dedupe_key", F.sha2(F.concat_ws("|", *[
-        F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("invoice_id", "resource_id", "sku_id", "charge_period_start",
-                                                                "list_cost", "billed_cost", "consumed_quantity", "pricing_category",
-                                                                "charge_category", "provider_name", "service_name")]), 256))
+    rows = dt.bill(s, f).withColumn("dedupe_key", _bill_key())
     # Each connector and the replay below read the same rows: write them once.
     staged = f"{root}-source"
     rows.write.parquet(staged)

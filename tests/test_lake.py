@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +171,17 @@ def test_gold_leaves_out_nameless_providers_and_refuses_clashes(spark, tmp_path)
     with pytest.raises(ValueError):
         lake.publish_gold(spark, str(tmp_path / "gold"), {"bill": clash}, {})
     assert spark.read.parquet(str(tmp_path / "gold/aws/bill")).count() == 1
+
+
+def test_charges_that_differ_in_any_column_are_kept(spark, bill_rows, tmp_path, monkeypatch):
+    """Only rows equal in all bill columns are one charge, whichever load brought them."""
+    from tallyspark.plans import lake_queries
+
+    rows = bill_rows(
+        {"day": "1997-04-02"}, {"day": "1997-04-02"}, {"day": "1997-04-02", "effective_cost": Decimal(2)}, {"day": "1997-04-02", "tags": '{"a":"b"}'},
+        {"day": "1997-04-02", "ingest_run_id": "later"}, {"day": "1997-04-02", "region_id": ""}, {"day": "1997-04-02", "billing_account_id": "x"},
+        {"day": "1997-04-02", "sku_id": "a|b", "region_id": "c"}, {"day": "1997-04-02", "sku_id": "a", "region_id": "b|c"})
+    monkeypatch.setattr(lake_queries.dt, "bill", lambda s, f: rows)
+    monkeypatch.setattr(lake_queries, "work_folder", lambda s, name: str(tmp_path / name))
+    root, _ = lake_queries._bronze(spark, "", ("aws",))
+    assert lake_queries.scans.scan_bronze_bill(spark, root).count() == 7
