@@ -43,9 +43,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 80 %) the document with the smallest identifier stays."""
-    gone = near_duplicates(docs, words=5, percent=80).where("not kept").select("_row")
-    return with_row(docs, *COLUMNS).join(gone, "_row", "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicates (five words, 80 %) one row stays, the first of those with the smallest identifier."""
+    found = near_duplicates(docs, words=5, percent=80)
+    # Equal and null identifiers do not name a row, so a group keeps its least row; null is the greatest identifier.
+    keep = found.groupBy("component_row").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"))
+    return with_row(docs, *COLUMNS).join(keep.select("least._row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,7 +190,7 @@ def near_duplicates(
     docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 28, band_rows: int = 4,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Every row with its group of near-duplicates: _row, doc_id, n_shingles, component_id, kept.
+    """Every row with its group of near-duplicates: _row, doc_id, n_shingles, component_id, kept, component_row.
 
     A document's set are its distinct runs of `words` words (blanks separate words, A-Z in lower case), or all
     its words as one if it has fewer. Documents are linked if 100 * intersection >= percent * union, confirmed
@@ -198,6 +198,7 @@ def near_duplicates(
     component_id. A row without words, or with a null text, is alone with n_shingles 0. Repeated rows are in
     one group; a null identifier is never the smallest of a group with others, alone it is its own. An empty
     table gives no rows; other columns are not read. `_row` numbers the rows of the stored table as `with_row` does.
+    component_row is the `_row` of one row of the group: it tells groups apart whose identifiers are null or repeated.
 
     Equal sets are one node. Nodes meet in buckets of equal band keys; with 28 bands of 4 coordinates a pair
     at 80 % shares none with a probability of 4e-7. A bucket is finished when its nodes are in one component or
@@ -267,8 +268,11 @@ def near_duplicates(
     grouped = nodes.select("node", "digest", "least").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    component = stored(grouped.join(smallest, "label").select("digest", "component_id"), "near-components")
+    component = stored(
+        grouped.join(smallest, "label").select("digest", "component_id", F.col("label").alias("component_row")), "near-components")
     with_words = all_rows.where("n > 0").select("_row", "doc_id", "n", "digest").join(component, "digest").select(
-        "_row", "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    without = all_rows.where("n = 0").select("_row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        "_row", "doc_id", F.col("n").alias("n_shingles"), "component_id", "component_row")
+    without = all_rows.where("n = 0").select(
+        "_row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+        F.col("_row").alias("component_row"))
     return with_words.unionByName(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
