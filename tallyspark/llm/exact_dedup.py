@@ -38,7 +38,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 def stream_groups(
     spark: SparkSession, path: str, *, id_col: str = "doc_id", text_col: str = "text",
-    state_path: str | None = None, bytes_per_batch: int = 64 << 30,
+    state_path: str | None = None, bytes_per_batch: int = 8 << 30,
 ) -> DataFrame:
     """One row per digest of the Parquet table at `path`: digest, keeper (doc_id, locator), group_size.
 
@@ -60,7 +60,8 @@ def stream_groups(
         _grouped(_located(table, id_col, text_col)).where("false").write.mode("overwrite").parquet(f"{root}/groups/none")
         # A stream takes a single file only by a pattern.
         pattern = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
-        reader = spark.readStream.schema(source.schema).option("maxBytesPerTrigger", str(bytes_per_batch))
+        # Files count as new whatever their age: copied and restored ones can be older than those already seen.
+        reader = spark.readStream.schema(source.schema).option("maxBytesPerTrigger", str(bytes_per_batch)).option("maxFileAge", "36500d")
         rows = _located(reader.parquet(pattern), id_col, text_col)
         seen = _grouped(rows)
 
@@ -86,7 +87,7 @@ def stream_groups(
 
 def exact_duplicates(
     spark: SparkSession, path: str, *, id_col: str = "doc_id", text_col: str = "text", state_path: str | None = None,
-    bytes_per_batch: int = 64 << 30,
+    bytes_per_batch: int = 8 << 30,
 ) -> DataFrame:
     """Every row of the Parquet table at `path` with the row of equal text that stays.
 
@@ -102,9 +103,10 @@ def exact_duplicates(
         spark, path, id_col=id_col, text_col=text_col, state_path=state_path, bytes_per_batch=bytes_per_batch)
     rows = _located(spark.read.parquet(path), id_col, text_col)
     # One join deals the texts by digest; only the rows of a hit keep their text for the comparison.
+    missing = F.raise_error(F.lit("a row is in no group of the stream's state")).cast("long")
     marked = stored(
-        rows.join(groups, "digest").select(
-            "digest", "doc_id", "locator", "keeper", "group_size",
+        rows.join(groups, "digest", "left").select(
+            "digest", "doc_id", "locator", "keeper", F.coalesce("group_size", missing).alias("group_size"),
             F.when(F.col("group_size") > 1, F.col("body")).alias("body")),
         "exact-marked")
     hits = marked.where("group_size > 1")
