@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.coerce import tag_map
 from tallyspark.functions.labels import tag_lookup
-from tallyspark.operators.frame import exact_percentiles, ratio, sum_if, union_all
+from tallyspark.operators.frame import percentiles, ratio, sum_if, union_all
 from tallyspark.operators.rules import WASTE_RULES
 
 # Entities that cannot carry a utilization reading at all.
@@ -241,12 +241,8 @@ def turn_usage(turns: DataFrame) -> DataFrame:
         ratio(F.count_if(routed & (F.col("route") == "deterministic")), F.nullif(F.count_if(routed), F.lit(0))).alias("fast_share"),
         F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"),
         F.coalesce(F.sum("tool_call_count"), F.lit(0)).alias("tool_calls"))
-    out = head
-    measured = turns.where(timed)
-    for column, points in (
-        ("duration_ms", {"median_ms": 0.5, "p90_ms": 0.9}), ("plan_ms", {"plan_median_ms": 0.5}),
-        ("explore_ms", {"explore_median_ms": 0.5}), ("execute_ms", {"execute_median_ms": 0.5}),
-        ("synthesize_ms", {"synthesize_median_ms": 0.5}),
-    ):
-        out = out.join(F.broadcast(exact_percentiles(measured, [], column, points)), how="left")
-    return out
+    spread = percentiles(turns.where(timed), [], {
+        "median_ms": ("duration_ms", 0.5), "p90_ms": ("duration_ms", 0.9), "plan_median_ms": ("plan_ms", 0.5),
+        "explore_median_ms": ("explore_ms", 0.5), "execute_median_ms": ("execute_ms", 0.5),
+        "synthesize_median_ms": ("synthesize_ms", 0.5)})
+    return head.crossJoin(F.broadcast(spread))

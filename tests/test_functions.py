@@ -48,20 +48,34 @@ def test_project_tag_matches_the_folded_key_only(spark):
     assert got == ["yes", None, None]
 
 
-@pytest.mark.parametrize("whole", [10**9, 10])
-def test_exact_percentiles_match_numpy_with_and_without_brackets(spark, monkeypatch, whole):
-    monkeypatch.setattr(frame, "_WHOLE_GROUP", whole)
+@pytest.mark.parametrize("levels", [None, (1, 2, 4, 8, 37)])
+def test_exact_percentiles_match_numpy(spark, monkeypatch, levels):
+    if levels:  # coarse first buckets: ranks are found only by refinement
+        monkeypatch.setattr(frame, "_LEVEL_BITS", levels)
     rng = np.random.default_rng(7)
-    hot = np.concatenate([rng.integers(0, 50, 20_000), rng.exponential(1000, 30_000).astype(int)])
-    rows = [("hot", float(v)) for v in hot] + [("one", 4.0)]
+    hot = np.concatenate([rng.integers(0, 50, 20_000), rng.exponential(1000, 30_000), -rng.random(500), [0.0, -0.0, 1e-310]])
+    rows = [("hot", float(v)) for v in hot] + [("one", 4.0), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(4)
-    if whole == 10:
-        df = df.where("k = 'hot'")
-    out = {r["k"]: r for r in frame.exact_percentiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).collect()}
-    for name, p in (("p50", 50), ("p95", 95), ("p99", 99)):
-        assert out["hot"][name] == pytest.approx(np.percentile(hot, p))
-    if whole > 10:
-        assert out["one"]["p95"] == 4.0
+    out = {r["k"]: r for r in frame.exact_percentiles(df, ["k"], "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99}).collect()}
+    for name, p in (("p0", 0), ("p50", 50), ("p95", 95), ("p99", 99)):
+        assert out["hot"][name] == pytest.approx(np.percentile(hot, p), rel=1e-12)
+    assert out["one"]["p95"] == 4.0 and out["none"]["p50"] is None
+
+
+def test_percentiles_of_several_columns_in_one_pass(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(0, 1e6, 5000), rng.integers(0, 3, 5000).astype(float)
+    rows = [(float(x), float(y) if i % 3 else None) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double")
+    (got,) = frame.percentiles(df, [], {"a37": ("a", 0.37), "a99": ("a", 0.99), "b50": ("b", 0.5)}).collect()
+    kept = [y for i, y in enumerate(b) if i % 3]
+    assert got["a37"] == pytest.approx(np.percentile(a, 37), rel=1e-12) and got["a99"] == pytest.approx(np.percentile(a, 99), rel=1e-12)
+    assert got["b50"] == np.percentile(kept, 50)
+    (empty,) = frame.percentiles(df.where("false"), [], {"a50": ("a", 0.5)}).collect()
+    assert empty["a50"] is None
+    inf = spark.createDataFrame([(float("inf"),), (1.0,), (float("-inf"),)], "a double")
+    (edge,) = frame.percentiles(inf, [], {"lo": ("a", 0.0), "mid": ("a", 0.5), "hi": ("a", 1.0)}).collect()
+    assert (edge["lo"], edge["mid"], edge["hi"]) == (float("-inf"), 1.0, float("inf"))
 
 
 def test_price_change_prices_each_row_once(spark):
