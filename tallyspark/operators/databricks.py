@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.frame import latest_by_key, ratio, top_rows, union_all
+from tallyspark.operators.price_index import price_index, with_price
 
 _OPEN_END = "9999-12-31 00:00:00"
 
@@ -37,29 +38,24 @@ def price_windows(prices: DataFrame) -> DataFrame:
     )
 
 
-def _valid_price(usage: DataFrame, prices: DataFrame, sku: str, name: str) -> DataFrame:
-    """Left range join: equal SKU and cloud, usage end inside the validity window."""
-    p = prices.select(
-        F.col("sku_name").alias("_sku"), F.col("cloud").alias("_cloud"),
-        F.col("unit_price").alias(name), F.col("price_start_time").alias("_from"),
-        F.col("price_end_time").alias("_to"))
-    return usage.join(
-        p,
-        (F.col(sku) == F.col("_sku")) & (F.col("cloud") == F.col("_cloud"))
-        & (F.col("usage_end_time") >= F.col("_from")) & (F.col("usage_end_time") < F.col("_to")),
-        "left",
-    ).drop("_sku", "_cloud", "_from", "_to")
+def _index(windows: DataFrame) -> DataFrame:
+    return price_index(windows, ["sku_name", "cloud"], F.col("unit_price"), "price_start_time", "price_end_time")
+
+
+def _valid_price(usage: DataFrame, index: DataFrame, sku: str, name: str) -> DataFrame:
+    """Usage with the price of its SKU and cloud whose validity holds its end; no row doubles or goes."""
+    return with_price(usage, index, [(F.col(sku), "sku_name"), (F.col("cloud"), "cloud")], F.col("usage_end_time"), name)
 
 
 def priced_usage(
     usage: DataFrame, prices: DataFrame, start: str, end: str, project_key: str = "project"
 ) -> DataFrame:
     """Usage with its own price and the price of the same work on jobs compute."""
-    windows = price_windows(prices)
+    index = _index(price_windows(prices))
     rows = usage.where(F.col("usage_date").between(start, end)).withColumn(
         "_jobs_sku", F.regexp_replace("sku_name", "ALL_PURPOSE|INTERACTIVE|NOTEBOOKS", "JOBS"))
-    rows = _valid_price(rows, windows, "sku_name", "_price")
-    rows = _valid_price(rows, windows, "_jobs_sku", "_jobs_price")
+    rows = _valid_price(rows, index, "sku_name", "_price")
+    rows = _valid_price(rows, index, "_jobs_sku", "_jobs_price")
     meta = F.col("usage_metadata")
     quantity = F.col("usage_quantity")
     return rows.select(
@@ -369,7 +365,7 @@ def endpoint_cost_month(usage: DataFrame, prices: DataFrame, start: str, end: st
         F.col("usage_date").between(start, end)
         & F.col("billing_origin_product").isin(*_SERVED_PRODUCTS)
         & F.col("usage_metadata.endpoint_id").isNotNull())
-    priced = _valid_price(rows, price_windows(prices), "sku_name", "_price")
+    priced = _valid_price(rows, _index(price_windows(prices)), "sku_name", "_price")
     return priced.groupBy(F.col("usage_metadata.endpoint_id").alias("endpoint_id"), _month("usage_date")).agg(
         F.sum("usage_quantity").alias("dbu_quantity"),
         F.sum(F.col("usage_quantity") * F.coalesce("_price", F.lit(0.0))).alias("billed_cost"),

@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 
 from tallyspark.functions import coerce, labels
 from tallyspark.operators.frame import latest_by_key, union_all
+from tallyspark.operators.price_index import price_index, with_price
 from tallyspark.schemas import BILL
 
 FOCUS_VERSION = "1.3"
@@ -272,16 +273,14 @@ def _product_fact(position: int, default: Column) -> Column:
 def _rated(usage: DataFrame, prices: DataFrame, name: str) -> DataFrame:
     """Usage with the USD price of its account, SKU and unit that is valid at its end; NULL without one.
 
-    Prices keep their decimals. The price list is one row per account, SKU, unit and validity, so no usage row doubles.
+    Prices keep their decimals. Where validities of one account, SKU and unit overlap, the one that started last
+    holds, so no usage row doubles.
     """
-    p = prices.where(F.col("currency_code") == "USD").select(
-        F.col("account_id").alias("_account"), F.col("sku_name").alias("_sku"), F.col("usage_unit").alias("_unit"),
-        F.col("pricing.default").cast("decimal(30,15)").alias(name), F.col("price_start_time").alias("_from"),
-        F.col("price_end_time").alias("_to"))
-    end = F.col("usage_end_time")
-    valid = (end >= F.col("_from")) & (F.col("_to").isNull() | (end < F.col("_to")))
-    same = (F.col("account_id") == F.col("_account")) & (F.col("sku_name") == F.col("_sku")) & (F.col("usage_unit") == F.col("_unit"))
-    return usage.join(p, same & valid, "left").drop("_account", "_sku", "_unit", "_from", "_to")
+    index = price_index(
+        prices.where(F.col("currency_code") == "USD"), ["account_id", "sku_name", "usage_unit"],
+        F.col("pricing.default").cast("decimal(30,15)"), "price_start_time", "price_end_time")
+    on = [(F.col("account_id"), "account_id"), (F.col("sku_name"), "sku_name"), (F.col("usage_unit"), "usage_unit")]
+    return with_price(usage, index, on, F.col("usage_end_time"), name)
 
 
 def map_databricks_usage(

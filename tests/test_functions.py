@@ -85,7 +85,7 @@ def test_price_change_prices_each_row_once(spark):
     prices = spark.createDataFrame(
         [("s", "AWS", 1.0, t(2024, 1, 1), t(2024, 5, 1)), ("s", "AWS", 3.0, t(2024, 5, 1), t(2030, 1, 1))],
         "sku_name string, cloud string, unit_price double, price_start_time timestamp, price_end_time timestamp")
-    rows = databricks._valid_price(usage, prices, "sku_name", "p").collect()
+    rows = databricks._valid_price(usage, databricks._index(prices), "sku_name", "p").collect()
     assert [r["p"] for r in rows] == [3.0]
 
 
@@ -185,3 +185,32 @@ def test_thresholds_file(tmp_path):
         path.write_text(bad)
         with pytest.raises(ValueError):
             catalog.load_thresholds(str(path))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_price_index_open_ends_overlaps_and_gaps(spark, monkeypatch, broadcast):
+    from tallyspark.operators import price_index as pi
+
+    if not broadcast:
+        monkeypatch.setattr(pi, "BROADCAST_BYTES", -1)
+    t = dt.datetime
+    prices = spark.createDataFrame([
+        ("s", "A", 1.0, t(2024, 1, 1), t(2024, 3, 1)),
+        ("s", "A", 2.0, t(2024, 3, 1), None),  # open end
+        ("s", "A", 9.0, t(2024, 2, 1), t(2024, 2, 10)),  # overlaps the first: started last, holds
+        ("s", "A", 5.0, t(2024, 6, 1), t(2024, 5, 1)),  # ends before it starts: never valid
+        ("g", "A", 4.0, t(2024, 1, 1), t(2024, 1, 2)),
+        ("n", "A", 4.0, None, t(2024, 1, 2)),  # no start: never valid
+    ], "sku_name string, cloud string, unit_price double, price_start_time timestamp, price_end_time timestamp")
+    index = pi.price_index(prices, ["sku_name", "cloud"], F.col("unit_price"), "price_start_time", "price_end_time")
+    at = [("s", t(2023, 12, 31)), ("s", t(2024, 1, 1)), ("s", t(2024, 2, 5)), ("s", t(2024, 2, 10)), ("s", t(2024, 3, 1)),
+          ("s", t(2030, 1, 1)), ("g", t(2024, 1, 2)), ("n", t(2024, 1, 1)), ("x", t(2024, 1, 1)), (None, t(2024, 1, 1)), ("s", None)]
+    usage = spark.createDataFrame([(i, s, "A", e) for i, (s, e) in enumerate(at)], "i int, sku string, cloud string, e timestamp")
+    got = {r["i"]: r["p"] for r in pi.with_price(usage, index, [(F.col("sku"), "sku_name"), (F.col("cloud"), "cloud")], F.col("e"), "p").collect()}
+    assert got == {0: None, 1: 1.0, 2: 9.0, 3: 1.0, 4: 2.0, 5: 2.0, 6: None, 7: None, 8: None, 9: None, 10: None}
+    many = spark.createDataFrame([("s", "A", float(k), t(2024, 1, 1) + dt.timedelta(days=k), t(2024, 1, 1) + dt.timedelta(days=k + 1)) for k in range(300)],
+                                 "sku_name string, cloud string, unit_price double, price_start_time timestamp, price_end_time timestamp")
+    big = pi.price_index(many, ["sku_name", "cloud"], F.col("unit_price"), "price_start_time", "price_end_time")
+    days = spark.createDataFrame([(k, "s", "A", t(2024, 1, 1, 12) + dt.timedelta(days=k)) for k in range(-2, 303)], "i int, sku string, cloud string, e timestamp")
+    found = {r["i"]: r["p"] for r in pi.with_price(days, big, [(F.col("sku"), "sku_name"), (F.col("cloud"), "cloud")], F.col("e"), "p").collect()}
+    assert found == {k: (float(k) if 0 <= k < 300 else None) for k in range(-2, 303)}
