@@ -119,16 +119,42 @@ def warehouse_meta(warehouses: DataFrame) -> DataFrame:
                          ["warehouse_name", "warehouse_type", "tag_count", "auto_stop_minutes"])
 
 
-def interactive_job_slice(priced: DataFrame) -> DataFrame:
+_CUBE_KEYS = ("product", "job_id", "run_as", "cluster_id", "warehouse_id", "notebook_id", "project", "charge_month")
+
+
+def usage_cube(priced: DataFrame) -> DataFrame:
+    """Priced usage aggregated once to (product, job, runner, cluster, warehouse, notebook, project, month), stored.
+
+    Every efficiency branch is a roll-up of it, so usage is scanned and priced once for all of them. Besides the
+    sums a cell keeps its row count, its greatest row cost and its heaviest row's job name, so that a branch's
+    "heaviest row" picks equal those over the rows themselves.
+    """
+    from tallyspark.sinks.files import stored
+
+    cube = priced.groupBy(*_CUBE_KEYS).agg(
+        F.sum("cost").alias("cost"), F.sum("jobs_priced_cost").alias("jobs_priced_cost"),
+        F.sum("usage_quantity").alias("usage_quantity"), F.bool_or("photon").alias("photon"),
+        F.count(F.lit(1)).alias("_rows"), F.max("cost").alias("_max_cost"),
+        F.max(F.struct("cost", "job_name")).alias("_top_name"), F.max("job_name").alias("job_name"),
+        F.max("notebook_path").alias("notebook_path"))
+    return stored(cube, "usage-cube")
+
+
+def _heaviest(value: str) -> Column:
+    """The value of a cube key on its heaviest row; equal costs go to the greatest value, as `top_by`."""
+    return F.max(F.struct("_max_cost", value))[value]
+
+
+def interactive_job_slice(cube: DataFrame) -> DataFrame:
     """Job-shaped cost that ran on shared clusters, with the heaviest job of each cluster."""
     return (
-        priced.where((F.col("product") == "ALL_PURPOSE") & F.col("job_id").isNotNull())
+        cube.where((F.col("product") == "ALL_PURPOSE") & F.col("job_id").isNotNull())
         .groupBy("cluster_id", "charge_month")
         .agg(F.sum("cost").alias("job_shaped_cost"),
              F.sum("jobs_priced_cost").alias("job_shaped_jobs_priced_cost"),
-             top_by("job_id", "cost").alias("top_job_id"),
-             top_by("job_name", "cost").alias("top_job_name"),
-             top_by("run_as", "cost").alias("top_job_owner"))
+             _heaviest("job_id").alias("top_job_id"),
+             F.max("_top_name")["job_name"].alias("top_job_name"),
+             _heaviest("run_as").alias("top_job_owner"))
     )
 
 
@@ -185,20 +211,21 @@ def _util_measures() -> list[Column]:
 
 
 def _usage_sums() -> list[Column]:
+    """Sums of usage cube cells."""
     return [F.sum("cost").alias("billed_cost"), F.sum("usage_quantity").alias("native_quantity"),
             F.bool_or("photon").alias("photon")]
 
 
 def efficiency_job(
-    priced: DataFrame, util: DataFrame, runs: DataFrame, jobs: DataFrame, clusters: DataFrame,
+    cube: DataFrame, util: DataFrame, runs: DataFrame, jobs: DataFrame, clusters: DataFrame,
     node_types: DataFrame,
 ) -> DataFrame:
     """Cost and health per job, runner and month."""
     rolled = (
-        priced.where((F.col("product") == "JOBS") & F.col("job_id").isNotNull())
+        cube.where((F.col("product") == "JOBS") & F.col("job_id").isNotNull())
         .groupBy("job_id", "run_as", "cluster_id", "charge_month")
         .agg(*_usage_sums(), F.max("job_name").alias("job_name"), F.max("project").alias("project"),
-             F.count("*").alias("_rows"))
+             F.sum("_rows").alias("_rows"))
     )
     machines = cluster_meta(clusters).select("cluster_id", "worker_node_type", "policy_id", "tag_count").join(
         node_types.withColumnRenamed("node_type", "worker_node_type"), "worker_node_type", "left")
@@ -229,14 +256,14 @@ def efficiency_job(
 
 
 def efficiency_interactive(
-    priced: DataFrame, util: DataFrame, clusters: DataFrame, node_types: DataFrame, jobs: DataFrame
+    cube: DataFrame, util: DataFrame, clusters: DataFrame, node_types: DataFrame, jobs: DataFrame
 ) -> DataFrame:
     """Cost and health per shared cluster; its owner, else its heaviest spender."""
     rolled = (
-        priced.where((F.col("product") == "ALL_PURPOSE") & F.col("cluster_id").isNotNull())
+        cube.where((F.col("product") == "ALL_PURPOSE") & F.col("cluster_id").isNotNull())
         .groupBy("cluster_id", "charge_month")
-        .agg(*_usage_sums(), top_by("run_as", "cost").alias("_spender"),
-             top_by("project", "cost").alias("owner_project"), F.count("*").alias("_rows"))
+        .agg(*_usage_sums(), _heaviest("run_as").alias("_spender"),
+             _heaviest("project").alias("owner_project"), F.sum("_rows").alias("_rows"))
     )
     machines = cluster_meta(clusters).join(
         node_types.withColumnRenamed("node_type", "worker_node_type"), "worker_node_type", "left")
@@ -245,7 +272,7 @@ def efficiency_interactive(
     level = F.col("_level")
     return (
         _with_utilization(rolled, util).join(machines, "cluster_id", "left")
-        .join(interactive_job_slice(priced), ["cluster_id", "charge_month"], "left")
+        .join(interactive_job_slice(cube), ["cluster_id", "charge_month"], "left")
         .join(top_owner, "top_job_id", "left")
         .select(
             F.lit("interactive").alias("entity_type"), F.col("cluster_id").alias("entity_id"),
@@ -264,17 +291,17 @@ def efficiency_interactive(
     )
 
 
-def _warehouse_usage(priced: DataFrame, *keys: str) -> DataFrame:
+def _warehouse_usage(cube: DataFrame, *keys: str) -> DataFrame:
     return (
-        priced.where((F.col("product") == "SQL") & F.col("warehouse_id").isNotNull())
+        cube.where((F.col("product") == "SQL") & F.col("warehouse_id").isNotNull())
         .groupBy("warehouse_id", *keys, "charge_month")
         .agg(*_usage_sums(), F.max("project").alias("owner_project"))
     )
 
 
-def efficiency_sql_warehouse(priced: DataFrame, stats: DataFrame, warehouses: DataFrame) -> DataFrame:
+def efficiency_sql_warehouse(cube: DataFrame, stats: DataFrame, warehouses: DataFrame) -> DataFrame:
     return (
-        _warehouse_usage(priced, "run_as").join(warehouse_meta(warehouses), "warehouse_id", "left")
+        _warehouse_usage(cube, "run_as").join(warehouse_meta(warehouses), "warehouse_id", "left")
         .join(stats, ["warehouse_id", "charge_month"], "left")
         .select(
             F.lit("sql_warehouse").alias("entity_type"), F.col("warehouse_id").alias("entity_id"),
@@ -286,12 +313,12 @@ def efficiency_sql_warehouse(priced: DataFrame, stats: DataFrame, warehouses: Da
     )
 
 
-def efficiency_sql_warehouse_user(priced: DataFrame, users: DataFrame, warehouses: DataFrame) -> DataFrame:
+def efficiency_sql_warehouse_user(cube: DataFrame, users: DataFrame, warehouses: DataFrame) -> DataFrame:
     """Warehouse cost split over its users by query duration."""
     share = ratio(F.col("user_duration_ms"), F.col("warehouse_duration_ms"))
     name = F.coalesce("warehouse_name", "warehouse_id")
     return (
-        _warehouse_usage(priced).join(users, ["warehouse_id", "charge_month"])
+        _warehouse_usage(cube).join(users, ["warehouse_id", "charge_month"])
         .join(warehouse_meta(warehouses), "warehouse_id", "left")
         .select(
             F.lit("sql_warehouse_user").alias("entity_type"),
@@ -306,9 +333,9 @@ def efficiency_sql_warehouse_user(priced: DataFrame, users: DataFrame, warehouse
     )
 
 
-def efficiency_notebook(priced: DataFrame) -> DataFrame:
+def efficiency_notebook(cube: DataFrame) -> DataFrame:
     return (
-        priced.where(F.col("product").isin("INTERACTIVE", "NOTEBOOKS") & F.col("notebook_id").isNotNull())
+        cube.where(F.col("product").isin("INTERACTIVE", "NOTEBOOKS") & F.col("notebook_id").isNotNull())
         .groupBy("notebook_id", "run_as", "charge_month")
         .agg(*_usage_sums(), F.max("notebook_path").alias("_path"), F.max("project").alias("owner_project"),
              F.sum("jobs_priced_cost").alias("jobs_priced_cost"))

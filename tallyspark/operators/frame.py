@@ -179,11 +179,9 @@ def percentiles(df: DataFrame, keys: list[str], spec: dict[str, tuple[str, float
 
 def _stored(df: DataFrame) -> DataFrame:
     """Rank targets between refinement levels, written once to the shared work folder and read back."""
-    from tallyspark.sinks.files import work_folder
+    from tallyspark.sinks.files import stored
 
-    path = work_folder(df.sparkSession, "percentile-targets")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, "percentile-targets")
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:

@@ -40,7 +40,7 @@ def users(spark, sf):
 
 
 def entity_parts(spark, sf):
-    p, jobs = priced(spark, sf), dt.plane(spark, sf, "db_jobs")
+    p, jobs = db.usage_cube(priced(spark, sf)), dt.plane(spark, sf, "db_jobs")
     clusters, whs = tt.nested_clusters(spark, sf), tt.nested_warehouses(spark, sf)
     nodes = dt.plane(spark, sf, "db_node_types")
     u = util(spark, sf)
@@ -83,7 +83,7 @@ def _t4c(spark, sf):
 
 @query("t5_interactive_job_slice")
 def _t5(spark, sf):
-    return db.interactive_job_slice(priced(spark, sf))
+    return db.interactive_job_slice(db.usage_cube(priced(spark, sf)))
 
 
 query("t6_warehouse_query_stats")(stats)

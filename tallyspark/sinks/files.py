@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from urllib.parse import unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Folder:
@@ -68,3 +68,10 @@ def work_folder(spark: SparkSession, label: str) -> str:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame written once to a fresh folder of `work_folder` and read back: later steps share it and survive lost executors."""
+    path = work_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
