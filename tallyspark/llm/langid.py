@@ -194,28 +194,32 @@ def fit(
     found, total = _document_counts(usable, grams)
     idf = np.log((1 + total) / (1 + found)) + 1
 
-    # A threshold on a hash of the row's number keeps about so many texts of each language, however many equal
-    # texts there are; the excess over the bound is cut after.
+    # A threshold on a hash of the text keeps about so many texts of each language; the excess over the bound is
+    # cut after. The hash depends on the row alone, so the sample is the same however the table is split.
     share = F.element_at(
         F.create_map(*[c for name in languages for c in (F.lit(name), F.lit(min(1.0, 1.2 * per_language / sizes[name])))]), F.col("lang"))
-    point = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / float(1 << 20)
-    chosen = usable.select("text", "lang", point.alias("point")).where(F.col("point") < share)
+    point = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) / float(1 << 20)
+    chosen = usable.select("text", "lang", point.alias("point"), F.hash("text", "lang").alias("tie")).where(F.col("point") < share)
+    kind = "smallint" if bits <= 15 else "int"
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = pa.int16() if bits <= 15 else pa.int32()
         for batch in batches:
             pairs = [_weighed(grams.counts(t), idf) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column("lang"), batch.column("point"), pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())),
-                pa.array([p[1].astype(np.float32) for p in pairs], pa.list_(pa.float32()))], ["lang", "point", "at", "value"])
+                batch.column("lang"), batch.column("point"), batch.column("tie"),
+                pa.array([p[0] for p in pairs], pa.list_(width)), pa.array([p[1].astype(np.float32) for p in pairs], pa.list_(pa.float32()))],
+                ["lang", "point", "tie", "at", "value"])
 
-    rows = chosen.mapInArrow(featurise, "lang string, point double, at array<int>, value array<float>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["point"], r["lang"], r["at"]))
+    # Texts arrive in a fixed order, one partition at a time; each is kept as two small arrays (2 or 4 bytes and
+    # 4 bytes a feature), never as Python numbers, and those over a language's bound are dropped on arrival.
+    featured = chosen.mapInArrow(featurise, f"lang string, point double, tie int, at array<{kind}>, value array<float>")
     taken: dict[str, int] = {}
     train, held = [], []
-    for row in rows:
+    for row in featured.orderBy("point", "lang", "tie").toLocalIterator():
         nth = taken[row["lang"]] = taken.get(row["lang"], 0) + 1
         if nth <= per_language:
-            example = (np.array(row["at"], np.int64), np.array(row["value"]), languages.index(row["lang"]))
+            example = (np.array(row["at"], np.int32), np.array(row["value"], np.float32), languages.index(row["lang"]))
             (held if nth % round(1 / calibration) == 0 else train).append(example)
     weights, bias = follow_the_regularised_leader(
         train, 1 << bits, len(languages), epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in contract.queries() and len(corpus_pipeline.STAGES) == 5
 
 

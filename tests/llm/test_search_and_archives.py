@@ -187,3 +187,17 @@ def test_temperature_lowers_the_loss():
 
     assert t > 1.5 and loss(scores / t) < loss(scores)
     assert best_temperature(np.empty((0, 3)), np.empty(0, int)) == 1.0
+
+
+def test_language_does_not_depend_on_splits(spark):
+    frame = docs(spark, 400)
+    split = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(split)
+    seen = []
+    try:
+        for size in ("128m", "2k"):
+            spark.conf.set(split, size)
+            seen.append(sorted(tuple(r) for r in identify(frame, per_language=50, bits=12).collect()))
+    finally:
+        spark.conf.set(split, before)
+    assert seen[0] == seen[1]
