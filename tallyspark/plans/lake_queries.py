@@ -279,3 +279,44 @@ def _q6(s, f):
     limits = {**catalog.load_thresholds(), "underutilized_pct": 10}
     found = rules.waste_record(planes.entities(s, f), limits)
     return found.where(F.col("waste_category") == "underutilized").groupBy("charge_month").agg(F.count("*").alias("n"))
+
+
+# --- GOLD build graph -----------------------------------------------------------------------------------
+def gold_graph(s, f):
+    """The silver bill as one shared node with the columns of every spend view, and every spend view on it."""
+    from tallyspark.plans import gold
+    from tallyspark.plans.spend_queries import VIEWS
+    from tallyspark.plans.spend_queries import bill as silver_bill
+
+    columns = sorted({c for _, needed in VIEWS.values() for c in needed})
+    nodes = [gold.Node("silver_bill", lambda: silver_bill(s, f, *columns))]
+    for name, (view, _) in VIEWS.items():
+        nodes.append(gold.Node(name.split("_", 1)[1], view, ("silver_bill",), gold.BY_PROVIDER))
+    return nodes
+
+
+def _read_back(s, f, view):
+    """Publishes one view of the graph (and what it needs), then reads all its provider groups back."""
+    from tallyspark.plans import gold
+
+    root = work_folder(s, "gold-graph")
+    nodes = gold_graph(s, f)
+    built = gold.build(nodes, [view])
+    produced = gold.publish(s, root, nodes, [view], built)
+    schema = built[view].schema
+    paths = [f"{root}/{p}" for p in produced if p.endswith(f"/{view}")]
+    rows = s.read.schema(schema).parquet(*paths) if paths else s.createDataFrame([], schema)
+    return rows
+
+
+def _register_gold_views():
+    from tallyspark.plans.registry import EXACT
+    from tallyspark.plans.spend_queries import VIEWS
+
+    for name in VIEWS:
+        short = name.split("_", 1)[1]
+        exact = EXACT if name == "g16_sku_month_over_month" else None
+        query(f"b9_gold_{short}", exact)(lambda s, f, short=short: _read_back(s, f, short))
+
+
+_register_gold_views()
