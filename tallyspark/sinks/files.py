@@ -47,6 +47,22 @@ class Folder:
     def remove(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
+    def write_text(self, path: str, text: str) -> None:
+        """A small file, replaced whole."""
+        out = self._fs.create(self._path(path), True)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+            out.hsync()
+        finally:
+            out.close()
+
+    def read_text(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def move(self, source: str, target: str) -> None:
         parent = self._path(target).getParent()
         self._fs.mkdirs(parent)
@@ -75,3 +91,47 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = work_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# The plan of a swap in progress, beside the folders it swaps; files starting with '_' are not read as data.
+JOURNAL = "_swap_journal.json"
+
+
+def swap(folder: Folder, moves: list[tuple[str, str]], removes: list[str], staging: str | None = None) -> None:
+    """Puts each staged folder in place of its target and removes the others, as one journaled step.
+
+    The plan is written before the first removal. A crash at any point leaves the journal, and the next
+    `complete_swap` (every writer and reader of the root calls it first) rolls the swap forward: staged folders
+    are whole before the plan exists, so finishing is always possible. Only a finished swap removes `staging`.
+    """
+    import json
+
+    journal = f"{folder.root}/{JOURNAL}"
+    folder.write_text(journal, json.dumps({"moves": moves, "removes": removes, "staging": staging}))
+    _apply(folder, moves, removes, staging)
+    folder.remove(journal)
+
+
+def _apply(folder: Folder, moves: list, removes: list, staging: str | None) -> None:
+    for source, target in moves:
+        if folder.exists(source):  # else moved before the crash
+            folder.remove(target)
+            folder.move(source, target)
+    for path in removes:
+        folder.remove(path)
+    if staging:
+        folder.remove(staging)
+
+
+def complete_swap(spark: SparkSession, root: str) -> bool:
+    """Finishes a swap under `root` that a crash interrupted; whether there was one."""
+    import json
+
+    folder = Folder(spark, root)
+    journal = f"{folder.root}/{JOURNAL}"
+    if not folder.exists(journal):
+        return False
+    plan = json.loads(folder.read_text(journal))
+    _apply(folder, [tuple(m) for m in plan["moves"]], plan["removes"], plan.get("staging"))
+    folder.remove(journal)
+    return True

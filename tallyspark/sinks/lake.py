@@ -15,7 +15,7 @@ from pyspark.sql.types import DecimalType
 
 from tallyspark.operators.frame import top_rows
 from tallyspark.operators.mapping import assert_single_currency, dedupe_exact
-from tallyspark.sinks.files import Folder
+from tallyspark.sinks.files import Folder, complete_swap, swap
 
 BILL_KEYS = ["x_source_connector", "charge_month"]
 
@@ -42,27 +42,26 @@ def write_bill_window(
     """Replace every month of the window for one connector with *rows*.
 
     Months the source no longer reports disappear. A pull in a foreign currency is rejected with
-    the old data intact; a failure while swapping leaves the window empty, never partial.
+    the old data intact. The swap is journaled: a failure while swapping is rolled forward by the next writer or
+    reader of the root, so the window is never seen partial.
     """
     folder = Folder(spark, root)
+    complete_swap(spark, root)
     months = months_between(start, end)
     scoped = dedupe_exact(rows.where((F.col("x_source_connector") == connector) & F.col("charge_month").isin(*months)))
     staging = _stage(scoped, root, BILL_KEYS)
     target = f"{root.rstrip('/')}/x_source_connector={connector}"
+    staged = f"{staging}/x_source_connector={connector}"
+    fresh = folder.partitions(staged, "charge_month")
     try:
-        staged = f"{staging}/x_source_connector={connector}"
-        fresh = folder.partitions(staged, "charge_month")
         if fresh:
             assert_single_currency(spark.read.parquet(staged), connector, base_currency)
-        _purge(folder, target, months)
-        try:
-            for month, path in fresh.items():
-                folder.move(path, f"{target}/charge_month={month}")
-        except Exception:
-            _purge(folder, target, months)
-            raise
-    finally:
+    except Exception:
         folder.remove(staging)
+        raise
+    old = folder.partitions(target, "charge_month")
+    moves = [(path, f"{target}/charge_month={month}") for month, path in fresh.items()]
+    swap(folder, moves, [old[m] for m in months if m in old and m not in fresh], staging)
 
 
 def _purge(folder: Folder, target: str, months: Iterable[str]) -> None:
@@ -115,6 +114,7 @@ def write_monthly_plane(
 
 
 def _write_window(spark, root, rows, keys, start, end, owners) -> None:
+    complete_swap(spark, root)
     months = months_between(start, end)
     scoped = rows.where(F.col(keys[-1]).isin(*months))
     if owners is None:
@@ -122,21 +122,14 @@ def _write_window(spark, root, rows, keys, start, end, owners) -> None:
         owners = [tuple(r) for r in scoped.select(*keys[:-1]).distinct().collect()]
     # Null and empty names share a folder.
     owners = [tuple(name or None for name in owner) for owner in owners]
-    # Written once beside the table; then each month's folder takes the place of the old one.
+    # Written once beside the table; then each month's folder takes the place of the old one, in one journaled swap.
     staging = _stage(scoped, root, keys)
     folder = Folder(spark, root)
-    try:
-        staged = Folder(spark, staging)
-        old = _months_of(folder, keys, owners, months)
-        fresh = _months_of(staged, keys, None, months)
-        for names, path in fresh.items():
-            if names in old:
-                folder.remove(old.pop(names))
-            folder.move(path, folder.root + path.removeprefix(staged.root))
-        for path in old.values():
-            folder.remove(path)
-    finally:
-        folder.remove(staging)
+    staged = Folder(spark, staging)
+    old = _months_of(folder, keys, owners, months)
+    fresh = _months_of(staged, keys, None, months)
+    moves = [(path, folder.root + path.removeprefix(staged.root)) for path in fresh.values()]
+    swap(folder, moves, [path for names, path in old.items() if names not in fresh], staging)
 
 
 def repartition_legacy_metrics(spark: SparkSession, root: str, target: str) -> None:
@@ -204,10 +197,11 @@ def publish_gold(
 ) -> list[str]:
     """Publish '<group>/<view>': provider views split by provider in one write each.
 
-    Everything is staged first; then each view is swapped in and groups that are no longer
-    produced are removed.
+    Everything is staged first; then, in one journaled swap, each view takes its place and groups that are no
+    longer produced are removed. A crash during the swap is rolled forward by the next publication or reader.
     """
     folder = Folder(spark, root)
+    complete_swap(spark, root)
     staging = f"{folder.root}/_staging/{uuid.uuid4().hex}"
     produced: dict[str, str] = {}
     try:
@@ -224,21 +218,20 @@ def publish_gold(
                 path = f"{staging}/fixed/{group}/{name}"
                 view.write.option("compression", "zstd").parquet(path)
                 produced[f"{group}/{name}"] = path
-        for key, path in produced.items():
-            folder.remove(f"{folder.root}/{key}")
-            folder.move(path, f"{folder.root}/{key}")
         live = {key.split("/")[0] for key in produced}
+        removes = []
         for group in folder.children(folder.root):
             if group == "_staging":
                 continue
             if group not in live:
-                folder.remove(f"{folder.root}/{group}")
+                removes.append(f"{folder.root}/{group}")
                 continue
-            for name in folder.children(f"{folder.root}/{group}"):
-                if f"{group}/{name}" not in produced:
-                    folder.remove(f"{folder.root}/{group}/{name}")
-    finally:
+            removes += [f"{folder.root}/{group}/{name}" for name in folder.children(f"{folder.root}/{group}")
+                        if f"{group}/{name}" not in produced]
+    except Exception:
         folder.remove(staging)
+        raise
+    swap(folder, [(path, f"{folder.root}/{key}") for key, path in produced.items()], removes, staging)
     return sorted(produced)
 
 

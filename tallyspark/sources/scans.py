@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StringType, StructType
 
 from tallyspark import schemas
-from tallyspark.sinks.files import Folder
+from tallyspark.sinks.files import Folder, complete_swap
 
 
 def scan_bill_export(
@@ -73,7 +73,8 @@ def _has_data(spark: SparkSession, root: str) -> bool:
 
 
 def scan_plane(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
-    """A lake plane in its fixed schema; columns older files lack read as NULL."""
+    """A lake plane in its fixed schema; columns older files lack read as NULL. A swap a crash interrupted is finished first."""
+    complete_swap(spark, root)
     if not _has_data(spark, root):
         return schemas.empty(spark, schema)
     # A given schema needs no footer merge, and partition values keep their declared text type.
@@ -115,6 +116,7 @@ def scan_turn_log(spark: SparkSession, *roots: str) -> DataFrame:
 
 def scan_gold(spark: SparkSession, root: str, group: str, view: str) -> DataFrame:
     """One published relation, also visible to SQL as '<group>__<view>'."""
+    complete_swap(spark, root)
     rows = spark.read.parquet(f"{root.rstrip('/')}/{group}/{view}")
     rows.createOrReplaceTempView(f"{group}__{view}")
     return rows

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import schemas
 from tallyspark.operators import mapping
-from tallyspark.sinks import lake
+from tallyspark.sinks import files, lake
 from tallyspark.sinks.files import Folder
 from tallyspark.sources import scans
 
@@ -61,21 +61,64 @@ def test_foreign_currency_is_rejected_with_old_data_intact(spark, root, bill_row
     assert Folder(spark, root).children(f"{root}/_staging") == []
 
 
-def test_failed_swap_leaves_the_window_empty(spark, root, bill_rows, monkeypatch):
-    rows = bill_rows({"day": "2024-04-02"}, {"day": "2024-05-02"})
-    lake.write_bill_window(spark, root, "aws", "2024-04-01", "2024-05-31", rows)
+def _breaking_move(monkeypatch, at=2):
+    """Folder.move fails on its `at`-th call, after the target was removed: a crash between the two steps."""
     real, calls = Folder.move, []
 
     def flaky(self, source, target):
         calls.append(target)
-        if len(calls) == 2:
+        if len(calls) == at:
             raise OSError("lost")
         real(self, source, target)
 
     monkeypatch.setattr(Folder, "move", flaky)
+    return lambda: monkeypatch.setattr(Folder, "move", real)
+
+
+def test_failed_swap_is_finished_by_the_next_reader(spark, root, bill_rows, monkeypatch):
+    rows = bill_rows({"day": "2024-04-02"}, {"day": "2024-05-02"})
+    lake.write_bill_window(spark, root, "aws", "2024-04-01", "2024-05-31", rows)
+    fresh = bill_rows({"day": "2024-04-03", "cost": 7}, {"day": "2024-05-03", "cost": 8})
+    heal = _breaking_move(monkeypatch)
     with pytest.raises(OSError):
-        lake.write_bill_window(spark, root, "aws", "2024-04-01", "2024-05-31", rows)
-    assert _read(spark, root).count() == 0
+        lake.write_bill_window(spark, root, "aws", "2024-04-01", "2024-05-31", fresh)
+    heal()
+    assert Folder(spark, root).exists(f"{root}/{files.JOURNAL}")
+    got = sorted(float(r["effective_cost"]) for r in _read(spark, root).collect())
+    assert got == [7.0, 8.0]  # the whole new window, never a mix and never a lost month
+    assert not Folder(spark, root).exists(f"{root}/{files.JOURNAL}")
+    assert Folder(spark, root).children(f"{root}/_staging") == []
+
+
+def test_failed_window_swap_is_finished_by_the_next_writer(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "eff")
+
+    def rows(ids, month="2024-05"):
+        base = [tuple({"entity_id": i, "entity_type": "job", "provider_name": "P", "x_source_connector": "a",
+                       "charge_month": month}.get(f.name) for f in schemas.EFFICIENCY.fields) for i in ids]
+        return spark.createDataFrame(base, schemas.EFFICIENCY)
+
+    lake.write_efficiency(spark, root, rows("xy"), "2024-05-01", "2024-05-31")
+    heal = _breaking_move(monkeypatch, at=1)
+    with pytest.raises(OSError):
+        lake.write_efficiency(spark, root, rows("z"), "2024-05-01", "2024-05-31")
+    heal()
+    assert lake.complete_swap(spark, root)
+    assert sorted(r["entity_id"] for r in spark.read.parquet(root).collect()) == ["z"]
+    lake.write_efficiency(spark, root, rows("w", "2024-06"), "2024-06-01", "2024-06-30")
+    assert sorted(r["entity_id"] for r in spark.read.parquet(root).collect()) == ["w", "z"]
+
+
+def test_failed_publication_is_finished_by_the_next_reader(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "gold")
+    view = spark.createDataFrame([("AWS", 1.0), ("GCP", 2.0)], "provider_name string, net_cost double")
+    lake.publish_gold(spark, root, {"monthly_bill": view}, {})
+    heal = _breaking_move(monkeypatch, at=2)
+    with pytest.raises(OSError):
+        lake.publish_gold(spark, root, {"monthly_bill": view.withColumn("net_cost", F.col("net_cost") * 10)}, {})
+    heal()
+    got = {g: scans.scan_gold(spark, root, g, "monthly_bill").first()["net_cost"] for g in ("aws", "gcp")}
+    assert got == {"aws": 10.0, "gcp": 20.0}
 
 
 def test_efficiency_refresh_of_one_connector_keeps_the_other(spark, tmp_path):
