@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from tallyspark import schemas
 from tallyspark.operators.frame import top_rows
 from tallyspark.operators.mapping import assert_single_currency, dedupe_exact
 from tallyspark.sinks.files import Folder, complete_swap, swap
@@ -106,6 +107,33 @@ def write_efficiency(
     _write_window(spark, root, rows, keys, start, end, owners)
 
 
+def efficiency_plane(sources: dict[str, tuple[DataFrame, list[tuple[str, str]]]]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Every efficiency source of one pull as one plane, and the (provider, connector) owners it replaces.
+
+    Each source gives its rows and the owners it writes for. Rows are aligned to the efficiency schema (missing
+    columns NULL) and unioned; the owners are the union of the declared ones. A row outside its source's owners
+    is an error: written alone, it would replace a partition that another source fills. Several sources that
+    share an owner and a month are thus written by one call and all survive.
+    """
+    frames, owners = [], set()
+    for name, (rows, declared) in sources.items():
+        aligned = rows.select(*[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.EFFICIENCY.fields])
+        allowed = {tuple(o) for o in declared}
+        # Owner names of one source, not data: a handful of (provider, connector) pairs.
+        found = {tuple(r) for r in aligned.select("provider_name", "x_source_connector").distinct().collect()}
+        if not found <= allowed:
+            raise ValueError(f"source {name} writes for owners it does not declare: {sorted(found - allowed, key=str)}")
+        frames.append(aligned)
+        owners |= allowed
+    if not frames:
+        raise ValueError("no efficiency source")
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out, sorted(owners, key=lambda o: tuple(x or "" for x in o))
+
+
 def write_monthly_plane(
     spark: SparkSession, root: str, rows: DataFrame, start: str, end: str, owners: list[tuple[str]] | None = None
 ) -> None:

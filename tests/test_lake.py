@@ -228,3 +228,19 @@ def test_charges_that_differ_in_any_column_are_kept(spark, bill_rows, tmp_path,
     monkeypatch.setattr(lake_queries, "work_folder", lambda s, name: str(tmp_path / name))
     root, _ = lake_queries._bronze(spark, "", ("aws",))
     assert lake_queries.scans.scan_bronze_bill(spark, root).count() == 7
+
+
+def test_efficiency_sources_sharing_a_month_both_survive(spark, tmp_path):
+    root = str(tmp_path / "eff")
+
+    def rows(ids, kind, connector="redshift", month="2024-05"):
+        return spark.createDataFrame([(i, kind, "AWS", connector, month) for i in ids],
+                                     "entity_id string, entity_type string, provider_name string, x_source_connector string, charge_month string")
+
+    owner = [("AWS", "redshift")]
+    plane, owners = lake.efficiency_plane({"patterns": (rows("ab", "query_pattern"), owner), "tables": (rows("c", "table"), owner)})
+    lake.write_efficiency(spark, root, plane, "2024-05-01", "2024-05-31", owners)
+    got = sorted((r["entity_type"], r["entity_id"]) for r in scans.scan_plane(spark, root, schemas.EFFICIENCY).collect())
+    assert got == [("query_pattern", "a"), ("query_pattern", "b"), ("table", "c")]
+    with pytest.raises(ValueError, match="does not declare"):
+        lake.efficiency_plane({"patterns": (rows("a", "query_pattern", connector="other"), owner)})
