@@ -83,6 +83,9 @@ def run_select(spark: SparkSession, views: dict[str, DataFrame], sql: str, limit
     except ParseException as error:
         raise QueryError(f"not one SQL query: {error}") from None
     _check(plan, {name.lower() for name in views})
+    # The caller's own temporary views of these names are put back afterwards.
+    taken = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    saved = {name: spark.table(name) for name in views if name.lower() in taken}
     for name, view in views.items():
         view.createOrReplaceTempView(name)
     try:
@@ -90,4 +93,6 @@ def run_select(spark: SparkSession, views: dict[str, DataFrame], sql: str, limit
     finally:
         for name in views:
             spark.catalog.dropTempView(name)
+        for name, view in saved.items():
+            view.createOrReplaceTempView(name)
     return rows if limit is None else rows.limit(limit)

@@ -254,7 +254,7 @@ query("k13_run_groups")(lambda s, f: lake.run_groups(_runs(s, f), 20).withColumn
 
 # --- catalog -----------------------------------------------------------------------------------------------
 query("q1_query_view")(lambda s, f: catalog.query_view(
-    _views(s, f), "spend_by_service_month", limit=10_000, order_by="net_cost DESC",
+    _views(s, f), "spend_by_service_month", order_by="net_cost DESC",
     filters={"provider_name": ["AWS", "Databricks"], "service_category": "Analytics"}, measures=["net_cost", "list_cost"]))
 query("q2_distinct_values")(lambda s, f: catalog.distinct_values(_views(s, f), "spend_by_service_month", "service_name"))
 query("q3_run_select")(lambda s, f: catalog.run_select(

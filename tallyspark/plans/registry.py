@@ -41,7 +41,7 @@ def present(df: DataFrame, round_to: dict[str, int] | int | None = None) -> Data
         elif isinstance(field.dataType, IntegralType):
             c = c.cast("bigint")
         elif field.dataType.typeName() == "double" and round_to != EXACT:
-            digits = round_to.get(field.name, 4) if isinstance(round_to, dict) else (round_to or 4)
+            digits = round_to.get(field.name, 4) if isinstance(round_to, dict) else (4 if round_to is None else round_to)
             c = F.round(c, digits)
         out.append(c.alias(field.name))
     return df.select(*out)

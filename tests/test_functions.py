@@ -214,3 +214,10 @@ def test_price_index_open_ends_overlaps_and_gaps(spark, monkeypatch, broadcast):
     days = spark.createDataFrame([(k, "s", "A", t(2024, 1, 1, 12) + dt.timedelta(days=k)) for k in range(-2, 303)], "i int, sku string, cloud string, e timestamp")
     found = {r["i"]: r["p"] for r in pi.with_price(days, big, [(F.col("sku"), "sku_name"), (F.col("cloud"), "cloud")], F.col("e"), "p").collect()}
     assert found == {k: (float(k) if 0 <= k < 300 else None) for k in range(-2, 303)}
+
+
+def test_run_select_puts_back_the_callers_view(spark):
+    spark.createDataFrame([(42,)], "a int").createOrReplaceTempView("mine")
+    got = catalog.run_select(spark, {"mine": spark.range(3).toDF("a")}, "SELECT count(*) AS n FROM mine").first()["n"]
+    assert got == 3 and spark.table("mine").first()["a"] == 42
+    spark.catalog.dropTempView("mine")
