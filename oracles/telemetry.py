@@ -238,6 +238,19 @@ def _union_part(name: str) -> str:
 
 
 _HEALTH = "billed_cost native_quantity utilization_pct"
+_T26 = """
+WITH sp AS (SELECT query, userid, sum(CASE WHEN is_diskbased = 't' THEN bytes ELSE 0 END)::DOUBLE / 1073741824 AS g FROM svl_query_report GROUP BY ALL),
+ a AS (SELECT usename AS username, count(DISTINCT q.query) AS query_count, sum(query_execution_time) AS exec_microseconds,
+  sum(query_queue_time) AS queue_microseconds, sum(query_cpu_time) AS cpu_microseconds, sum(query_blocks_read) AS blocks_read,
+  sum(query_temp_blocks_to_disk) AS temp_blocks_to_disk, sum(scan_row_count) AS scan_rows,
+  sum(spectrum_scan_row_count) AS spectrum_scan_rows, sum(spectrum_scan_size_mb) AS spectrum_scan_mb, sum(ifnull(g, 0)) AS spill_gb
+ FROM rsq q JOIN svl_query_metrics_summary m USING (query, userid) JOIN pg_user ON usesysid = q.userid
+ LEFT JOIN sp ON sp.query = q.query AND sp.userid = q.userid GROUP BY usename)
+SELECT *, (SELECT sum(exec_microseconds) FROM a) AS total_exec_microseconds,
+  100 * (exec_microseconds::DOUBLE / (SELECT sum(exec_microseconds)::DOUBLE FROM a)) AS duration_share_pct,
+  1000 * (exec_microseconds::DOUBLE / (SELECT sum(exec_microseconds)::DOUBLE FROM a)) AS billed_cost
+FROM a"""
+
 ORACLES = {
     "t1_price_window_join": fin("""
 SELECT product, sku_name, charge_month, count(*) AS lines, sum(cost) AS cost, sum(jcost) AS jobs_priced_cost,
@@ -312,18 +325,10 @@ FROM sf_queries JOIN sf_sessions USING (session_id) WHERE client_application_id
     "t24_measurable_window": fin("SELECT * FROM meas", r="wlm_queue_wait_ms_p95 wlm_queue_wait_ms_p99 wlm_wait_to_exec_ratio"),
     "t25_query_patterns": fin("SELECT * FROM pat", r=("total_run_min avg_exec_min avg_queue_min pct_runs_spilling avg_disk_spill_gb "
         "avg_workmem_gb avg_skew_ratio max_skew_ratio avg_slices_in_use")),
-    "t26_user_activity": fin("""
-WITH sp AS (SELECT query, userid, sum(CASE WHEN is_diskbased = 't' THEN bytes ELSE 0 END)::DOUBLE / 1073741824 AS g FROM svl_query_report GROUP BY ALL),
- a AS (SELECT usename AS username, count(DISTINCT q.query) AS query_count, sum(query_execution_time) AS exec_microseconds,
-  sum(query_queue_time) AS queue_microseconds, sum(query_cpu_time) AS cpu_microseconds, sum(query_blocks_read) AS blocks_read,
-  sum(query_temp_blocks_to_disk) AS temp_blocks_to_disk, sum(scan_row_count) AS scan_rows,
-  sum(spectrum_scan_row_count) AS spectrum_scan_rows, sum(spectrum_scan_size_mb) AS spectrum_scan_mb, sum(ifnull(g, 0)) AS spill_gb
- FROM rsq q JOIN svl_query_metrics_summary m USING (query, userid) JOIN pg_user ON usesysid = q.userid
- LEFT JOIN sp ON sp.query = q.query AND sp.userid = q.userid GROUP BY usename)
-SELECT *, (SELECT sum(exec_microseconds) FROM a) AS total_exec_microseconds,
-  100 * (exec_microseconds::DOUBLE / (SELECT sum(exec_microseconds)::DOUBLE FROM a)) AS duration_share_pct,
-  1000 * (exec_microseconds::DOUBLE / (SELECT sum(exec_microseconds)::DOUBLE FROM a)) AS billed_cost
-FROM a ORDER BY exec_microseconds DESC LIMIT 50""", r="spill_gb duration_share_pct billed_cost", big=(
+    "t26_user_activity": fin(_T26 + " ORDER BY exec_microseconds DESC LIMIT 50", r="spill_gb duration_share_pct billed_cost", big=(
+        "exec_microseconds total_exec_microseconds queue_microseconds cpu_microseconds blocks_read temp_blocks_to_disk scan_rows "
+        "spectrum_scan_rows spectrum_scan_mb")),
+    "t26_user_activity_all": fin(_T26, r="spill_gb duration_share_pct billed_cost", big=(
         "exec_microseconds total_exec_microseconds queue_microseconds cpu_microseconds blocks_read temp_blocks_to_disk scan_rows "
         "spectrum_scan_rows spectrum_scan_mb")),
     "t27_spectrum_table_usage": fin("SELECT * FROM spc", r="scanned_gb returned_gb"),

@@ -187,13 +187,14 @@ def _t25(spark, sf):
     return patterns(spark, sf).withColumn("last_seen_at", F.to_date("last_seen_at"))
 
 
-def user_activity(spark, sf):
+def user_activity(spark, sf, top_n=50):
     planes = [dt.plane(spark, sf, n) for n in
               ("stl_query", "svl_query_metrics_summary", "svl_query_report", "pg_user")]
-    return rs.user_activity(*planes, *WINDOW, compute_cost=1000.0, top_n=50)
+    return rs.user_activity(*planes, *WINDOW, compute_cost=1000.0, top_n=top_n)
 
 
 query("t26_user_activity")(user_activity)
+query("t26_user_activity_all")(lambda spark, sf: user_activity(spark, sf, top_n=None))
 
 
 def spectrum(spark, sf):
