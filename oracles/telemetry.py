@@ -322,6 +322,19 @@ SELECT 'Snowflake' AS provider_name, {MM.format('start_time')}, client_applicati
     WHEN client_application_id LIKE 'Kafka%' THEN 'unsupported' ELSE 'unknown' END AS support_status
 FROM sf_queries JOIN sf_sessions USING (session_id) WHERE client_application_id IS NOT NULL GROUP BY ALL"""),
     "t23_cluster_activity": fin("SELECT * FROM act", r="wlm_queue_wait_us_p95 wlm_queue_wait_us_p99 wlm_wait_to_exec_ratio"),
+    "t24_retention_ledger": fin("""
+WITH per AS (
+  SELECT 'stl_query' AS log_table, min(starttime)::DATE AS covered_from, max(starttime)::DATE AS covered_to FROM stl_query
+  UNION ALL SELECT 'stl_wlm_query', min(queue_start_time)::DATE, max(queue_start_time)::DATE FROM stl_wlm_query
+  UNION ALL SELECT 'svcs_concurrency_scaling_usage', min(start_time)::DATE, max(start_time)::DATE FROM svcs_concurrency_scaling_usage),
+ rows AS (SELECT * FROM per UNION ALL
+  SELECT '*', CASE WHEN count(covered_from) = count(*) THEN max(covered_from) END, CASE WHEN count(covered_from) = count(*) THEN min(covered_to) END FROM per)
+SELECT log_table, covered_from, covered_to, DATE '1997-03-01' AS window_from, DATE '1997-03-31' AS window_to, DATE '1997-03-25' AS capped_from,
+  CASE WHEN covered_from IS NOT NULL AND greatest(DATE '1997-03-01', covered_from) <= least(DATE '1997-03-31', covered_to) THEN greatest(DATE '1997-03-01', covered_from) END AS effective_from,
+  CASE WHEN covered_from IS NOT NULL AND greatest(DATE '1997-03-01', covered_from) <= least(DATE '1997-03-31', covered_to) THEN least(DATE '1997-03-31', covered_to) END AS effective_to,
+  NOT coalesce(covered_from IS NOT NULL AND greatest(DATE '1997-03-01', covered_from) <= least(DATE '1997-03-31', covered_to), false) OR coalesce(covered_from > DATE '1997-03-01', false) AS truncated,
+  coalesce(covered_from <= DATE '1997-03-01' AND covered_to >= DATE '1997-03-31', false) AS complete
+FROM rows"""),
     "t24_measurable_window": fin("SELECT * FROM meas", r="wlm_queue_wait_ms_p95 wlm_queue_wait_ms_p99 wlm_wait_to_exec_ratio"),
     "t25_query_patterns": fin("SELECT * FROM pat", r=("total_run_min avg_exec_min avg_queue_min pct_runs_spilling avg_disk_spill_gb "
         "avg_workmem_gb avg_skew_ratio max_skew_ratio avg_slices_in_use")),

@@ -111,6 +111,37 @@ def measurable_window(activity: DataFrame, start: str, end: str, min_detail_days
     )
 
 
+def retention_ledger(logs: dict[str, tuple[DataFrame, str]], start: str, end: str, days: int = 7) -> DataFrame:
+    """What each system log still holds of a window, and what all of them hold together (table '*').
+
+    Per log: covered_from / covered_to, the days of its earliest and latest record (null without records).
+    Every row: the window's days, capped_from (the first day that logs kept `days` days can reach, at most the
+    window's start), effective_from / effective_to (window and coverage intersected; null if they do not meet),
+    truncated (coverage starts after the window does, or does not meet it) and complete (the window is covered whole).
+    '*' intersects all logs; one log without records leaves it uncovered.
+    """
+    per_log = [
+        frame.agg(F.lit(name).alias("log_table"), F.to_date(F.min(column)).alias("covered_from"), F.to_date(F.max(column)).alias("covered_to"))
+        for name, (frame, column) in logs.items()]
+    ledger = per_log[0]
+    for part in per_log[1:]:
+        ledger = ledger.unionByName(part)
+    complete = F.count("covered_from") == F.count(F.lit(1))
+    together = ledger.agg(
+        F.lit("*").alias("log_table"), F.when(complete, F.max("covered_from")).alias("covered_from"),
+        F.when(complete, F.min("covered_to")).alias("covered_to"))
+    rows = ledger.unionByName(together)
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    lo, hi = F.greatest(first, F.col("covered_from")), F.least(last, F.col("covered_to"))
+    meets = F.col("covered_from").isNotNull() & (lo <= hi)
+    return rows.select(
+        "log_table", "covered_from", "covered_to", first.alias("window_from"), last.alias("window_to"),
+        F.greatest(first, F.date_sub(last, days - 1)).alias("capped_from"),
+        F.when(meets, lo).alias("effective_from"), F.when(meets, hi).alias("effective_to"),
+        (~meets | (F.col("covered_from") > first)).alias("truncated"),
+        (meets & (lo == first) & (hi == last)).alias("complete"))
+
+
 def capped_window(start: str, end: str, days: int = 7) -> tuple[str, str]:
     """System logs are kept for a week: never ask for more."""
     import datetime as dt

@@ -171,6 +171,12 @@ def _t23(spark, sf):
         "earliest_retained_query_ts", F.to_date("earliest_retained_query_ts"))
 
 
+@query("t24_retention_ledger")
+def _t24_ledger(spark, sf):
+    logs = {"stl_query": "starttime", "stl_wlm_query": "queue_start_time", "svcs_concurrency_scaling_usage": "start_time"}
+    return rs.retention_ledger({n: (dt.plane(spark, sf, n), c) for n, c in logs.items()}, "1997-03-01", "1997-03-31")
+
+
 @query("t24_measurable_window")
 def _t24(spark, sf):
     return rs.measurable_window(activity(spark, sf), *WINDOW)

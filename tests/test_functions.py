@@ -221,3 +221,19 @@ def test_run_select_puts_back_the_callers_view(spark):
     got = catalog.run_select(spark, {"mine": spark.range(3).toDF("a")}, "SELECT count(*) AS n FROM mine").first()["n"]
     assert got == 3 and spark.table("mine").first()["a"] == 42
     spark.catalog.dropTempView("mine")
+
+
+def test_retention_ledger_intersects_logs_with_the_window(spark):
+    from tallyspark.operators import redshift
+
+    t = dt.datetime
+    a = spark.createDataFrame([(t(2024, 5, 3, 10),), (t(2024, 6, 2),)], "ts timestamp")
+    b = spark.createDataFrame([(t(2024, 4, 20),), (t(2024, 5, 20),)], "ts timestamp")
+    empty = spark.createDataFrame([], "ts timestamp")
+    rows = {r["log_table"]: r for r in redshift.retention_ledger({"a": (a, "ts"), "b": (b, "ts")}, "2024-05-01", "2024-05-31").collect()}
+    assert (rows["a"]["effective_from"], rows["a"]["effective_to"], rows["a"]["truncated"]) == (dt.date(2024, 5, 3), dt.date(2024, 5, 31), True)
+    assert (rows["b"]["effective_from"], rows["b"]["effective_to"], rows["b"]["truncated"]) == (dt.date(2024, 5, 1), dt.date(2024, 5, 20), False)
+    assert (rows["*"]["covered_from"], rows["*"]["covered_to"], rows["*"]["complete"]) == (dt.date(2024, 5, 3), dt.date(2024, 5, 20), False)
+    assert rows["a"]["capped_from"] == dt.date(2024, 5, 25)
+    none = {r["log_table"]: r for r in redshift.retention_ledger({"a": (a, "ts"), "e": (empty, "ts")}, "2024-05-01", "2024-05-31").collect()}
+    assert none["*"]["effective_from"] is None and none["*"]["truncated"] and none["e"]["covered_from"] is None
