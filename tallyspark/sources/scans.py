@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StringType, StructType
+from pyspark.sql.types import (
+    BooleanType, ByteType, DataType, DoubleType, IntegerType, LongType, ShortType, StringType, StructField, StructType, TimestampType)
 
 from tallyspark import schemas
 from tallyspark.sinks.files import Folder, complete_swap
@@ -93,11 +94,51 @@ def scan_driver_health(spark: SparkSession, root: str, legacy_root: str) -> Data
     return primary.unionByName(legacy.join(covered, ["provider_name", "charge_month"], "left_anti"))
 
 
+_WIDTH = {"boolean": 0, "tinyint": 1, "smallint": 2, "int": 3, "bigint": 4, "float": 5, "double": 6}
+
+
+def _wider(a: DataType, b: DataType) -> DataType:
+    """The type that holds values of both: the wider number (decimals as doubles), else text."""
+    names = [t.simpleString() for t in (a, b)]
+    if names[0] == names[1]:
+        return a
+    numeric = [("double" if n.startswith("decimal") else n) for n in names]
+    if all(n in _WIDTH for n in numeric):
+        return DoubleType() if "double" in numeric or "float" in numeric else _parse(max(numeric, key=_WIDTH.get))
+    if {"date", "timestamp"} >= set(names):
+        return TimestampType()
+    return StringType()
+
+
+def _parse(name: str) -> DataType:
+    return {"boolean": BooleanType(), "tinyint": ByteType(), "smallint": ShortType(), "int": IntegerType(), "bigint": LongType()}[name]
+
+
 def scan_account_usage(spark: SparkSession, root: str, table: str, flat_root: str | None = None) -> DataFrame | None:
-    """One source view: lake partitions first, else a flat file; lower-case names, no partition keys."""
+    """One source view: lake partitions first, else a flat file, else None; lower-case names, no partition keys.
+
+    Months written at different times may disagree on a column's type: each month is read in its own schema and
+    every column is widened to a type that holds all of them (wider numbers, decimals as doubles, dates and times
+    as times, anything else as text). Columns a month lacks read as NULL.
+    """
     path = f"{root.rstrip('/')}/{table}"
+    complete_swap(spark, path)
     if _has_data(spark, path):
-        rows = spark.read.option("mergeSchema", True).parquet(path)
+        folder = Folder(spark, path)
+        parts = [p for provider in folder.children(path) for p in (f"{path}/{provider}/{m}" for m in folder.children(f"{path}/{provider}"))]
+        frames = [spark.read.parquet(p) for p in parts] or [spark.read.parquet(path)]
+        if len(parts) > 1:
+            frames = [f.toDF(*[c.lower() for c in f.columns]) for f in frames]
+            widest: dict[str, DataType] = {}
+            for frame in frames:
+                for field in frame.schema.fields:
+                    widest[field.name] = _wider(widest[field.name], field.dataType) if field.name in widest else field.dataType
+            aligned = [f.select(*[(F.col(n) if n in f.columns else F.lit(None)).cast(t).alias(n) for n, t in widest.items()]) for f in frames]
+            rows = aligned[0]
+            for frame in aligned[1:]:
+                rows = rows.unionByName(frame)
+        else:
+            rows = frames[0]
     elif flat_root and Folder(spark, flat_root).exists(f"{flat_root}/{table}.parquet"):
         rows = spark.read.parquet(f"{flat_root}/{table}.parquet")
     else:

@@ -244,3 +244,18 @@ def test_efficiency_sources_sharing_a_month_both_survive(spark, tmp_path):
     assert got == [("query_pattern", "a"), ("query_pattern", "b"), ("table", "c")]
     with pytest.raises(ValueError, match="does not declare"):
         lake.efficiency_plane({"patterns": (rows("a", "query_pattern", connector="other"), owner)})
+
+
+def test_account_usage_months_with_other_types_are_widened(spark, tmp_path):
+    import datetime as dt
+
+    root = str(tmp_path / "au")
+    may = spark.createDataFrame([(dt.date(2024, 5, 1), 1, "x", 2)], "START_TIME date, CREDITS int, NOTE string, ID int")
+    june = spark.createDataFrame([(dt.date(2024, 6, 1), Decimal("2.5"), 7, 3)], "START_TIME date, CREDITS decimal(10,2), NOTE int, ID bigint")
+    lake.write_account_usage({"METERING": may}, root, {"METERING": "START_TIME"}, "2024-06")
+    lake.write_account_usage({"METERING": june}, root, {"METERING": "START_TIME"}, "2024-06")
+    rows = scans.scan_account_usage(spark, root, "metering")
+    types = dict(rows.dtypes)
+    assert (types["credits"], types["note"], types["id"]) == ("double", "string", "bigint")
+    assert sorted((r["credits"], r["note"], r["id"]) for r in rows.collect()) == [(1.0, "x", 2), (2.5, "7", 3)]
+    assert scans.scan_account_usage(spark, root, "missing") is None
