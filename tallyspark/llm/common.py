@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+# Work tables made by this process, in order, so that a caller can remove those it knows are no longer read.
+_MADE: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,14 +21,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that all machines of the cluster share.
 
-    The folder comes from spark.checkpoint.dir. Only a session without it (one machine, as in tests) gets a
-    folder of its own, which is then kept in the session's setting.
+    The folder comes from spark.checkpoint.dir. Only a session on one machine (as in tests) may lack it and gets a
+    folder of its own, which is then kept in the session's setting; on a cluster its lack is an error.
     """
     root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{SETTING} has to name a folder that all machines of the cluster share")
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='llm-work-')}"
         spark.conf.set(SETTING, root)
-    return f"{root.rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def made() -> int:
+    """How many work tables this process has made so far; a mark for `release`."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, start: int, end: int) -> None:
+    """Removes the work tables made between two marks. Only for tables that nothing will read again."""
+    jvm = spark.sparkContext._jvm
+    for path in _MADE[start:end]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
