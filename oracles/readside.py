@@ -182,6 +182,9 @@ LEFT JOIN f ON f.provider_name = pm.provider_name AND f.charge_month = pm.charge
 LEFT JOIN m ON m.provider_name = pm.provider_name AND m.charge_month = pm.charge_month AND m.entity_type = s.entity_type""", r="recoverable"),
     "w40_rule_scope": fin("""SELECT s.*, n AS entity_months FROM scope s JOIN (SELECT provider_name, entity_type, count(*) AS n FROM ent GROUP BY ALL)
 USING (provider_name, entity_type)"""),
+    "w40_rule_scope_all": fin("""SELECT s.*, e.entity_type AS measured_entity_type, e.n AS entity_months FROM scope s
+JOIN (SELECT provider_name, entity_type, count(*) AS n FROM ent GROUP BY ALL) e
+  ON e.provider_name = s.provider_name AND (s.entity_type = '' OR s.entity_type = e.entity_type)"""),
     "d25_first_seen_context": fin(f"""SELECT b.charge_month, b.entity_type, b.entity_id, b.lens, recoverable_cost AS potential_savings, first_seen_month FROM ({BEST}) b
 LEFT JOIN (SELECT entity_type, entity_id, lens, min(charge_month) AS first_seen_month FROM findings GROUP BY ALL) USING (entity_type, entity_id, lens)""", r="potential_savings"),
     "d26_driver_staleness": fin("""

@@ -123,6 +123,16 @@ def _w40(s, f):
     return scope.join(measured, ["provider_name", "entity_type"])
 
 
+@query("w40_rule_scope_all")
+def _w40_all(s, f):
+    """Rules for any kind ('') are in scope for every kind a provider has measured."""
+    measured = planes.entities(s, f).groupBy("provider_name", F.col("entity_type").alias("measured_entity_type")).agg(
+        F.count("*").alias("entity_months"))
+    scope = ac.rule_scope(s)
+    fits = (F.col("entity_type") == "") | (F.col("entity_type") == F.col("measured_entity_type"))
+    return scope.join(measured, "provider_name").where(fits)
+
+
 @query("d25_first_seen_context")
 def _d25(s, f):
     records = planes.entities(s, f)
