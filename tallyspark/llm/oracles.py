@@ -4,6 +4,9 @@ _BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 
 _BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 
+_WORD_SPLIT = r"'[\x20\x09-\x0D]+'"
+_HAS_WORD = r"'[^\x20\x09-\x0D]'"
+
 ORACLES = {
     # Five hexadecimal digits are four letters of base32.
     "op4_warc": f"""
@@ -32,4 +35,41 @@ ORACLES = {
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window w as (partition by coalesce(text, ''))""",
+    "op11_quality_rules": f"""
+        with doc as (
+            select row_number() over () as rid, doc_id, source, coalesce(text, '') as t from documents),
+        word as (
+            select rid, list_filter(regexp_split_to_array(t, {_WORD_SPLIT}), lambda w: w <> '') as ws from doc),
+        tri as (
+            select rid, i, count(*) over (partition by rid, g) as seen
+            from (select rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g
+                  from word, lateral (select unnest(range(1, len(ws) - 1)) as i))),
+        covered as (
+            select rid, count(distinct i + k) as n_repeat_words
+            from tri, lateral (select unnest([0, 1, 2]) as k) where seen > 1 group by rid),
+        line as (
+            select rid, source, l,
+                   trim(regexp_replace(lower(l), {_WORD_SPLIT}, ' ', 'g'), ' ') as norm,
+                   length(regexp_replace(l, {_WORD_SPLIT}, '', 'g')) as wc
+            from (select rid, source, unnest(string_split(t, chr(10))) as l from doc)
+            where regexp_matches(l, {_HAS_WORD})),
+        common as (
+            select source, norm from line group by source, norm having count(distinct rid) >= 10),
+        removed as (
+            select rid, count(*) as removed_lines, sum(wc) as removed_chars
+            from line join common c on c.norm = line.norm and c.source is not distinct from line.source group by rid),
+        base as (
+            select d.rid, doc_id, len(ws) as n_words,
+                   length(regexp_replace(t, {_WORD_SPLIT}, '', 'g')) as word_chars,
+                   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+                   len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_HAS_WORD})))
+                     - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_HAS_WORD})))) as n_dup_lines,
+                   coalesce(n_repeat_words, 0) as n_repeat_words,
+                   coalesce(removed_lines, 0) as removed_lines, coalesce(removed_chars, 0) as removed_chars
+            from doc d join word using (rid) left join covered using (rid) left join removed using (rid))
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 or 2 * n_repeat_words > n_words as base_failed,
+               not (n_words < 50 or 2 * n_repeat_words > n_words) and not (2 * removed_chars > word_chars) as kept,
+               removed_lines, removed_chars
+        from base""",
 }
