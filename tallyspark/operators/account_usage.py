@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.frame import broadcast_single, exact_avg, ratio, ranked, top_rows, union_all
+from tallyspark.operators.frame import broadcast_single, exact_avg, ratio, ranked, top_rows, union_all, wide
 
 Tables = dict[str, DataFrame]
 
@@ -476,10 +476,11 @@ def warehouse_cost_efficiency(tables: Tables, p: Prices = Prices()) -> DataFrame
     # A query attributed several times counts its bytes and cache share once per attribution row.
     copies = F.coalesce("_copies", F.lit(1))
     zero = F.lit(0)
-    spill = F.coalesce("bytes_spilled_to_local_storage", zero) + F.coalesce("bytes_spilled_to_remote_storage", zero)
+    spill = (F.coalesce(wide(rows, "bytes_spilled_to_local_storage"), zero)
+             + F.coalesce(wide(rows, "bytes_spilled_to_remote_storage"), zero))
     agg = rows.join(credits, "query_id", "left").groupBy("warehouse_name").agg(
         F.countDistinct("query_id").alias("queries"), F.sum(F.coalesce("_c", F.lit(0.0))).alias("_credits"),
-        F.sum(F.coalesce("bytes_scanned", zero) * copies).alias("_scan"), F.sum(spill * copies).alias("_spill"),
+        F.sum(F.coalesce(wide(rows, "bytes_scanned"), zero) * copies).alias("_scan"), F.sum(spill * copies).alias("_spill"),
         ratio(F.sum(F.coalesce("percentage_scanned_from_cache", F.lit(0.0)) * copies), F.sum(copies)).alias("_cache"))
     c = F.col("_credits")
     return agg.where(c > 0).select(

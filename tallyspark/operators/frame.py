@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 NONE_LABEL = "(none)"
 UNKNOWN_LABEL = "(unknown)"
@@ -50,6 +51,12 @@ def exact_avg(c: str) -> Column:
     return ratio(F.sum(F.col(c).cast("decimal(18,6)")), F.count(c))
 
 
+def wide(df: DataFrame, c: str) -> Column:
+    """A column for sums: whole numbers as decimals, because byte counts of many rows add up past a bigint."""
+    col = F.col(c)
+    return col.cast("decimal(20,0)") if isinstance(df.schema[c].dataType, IntegralType) else col
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], n: int | None = 1) -> DataFrame:
     """First n rows of each key, or all rows without a number."""
     if n is None:
