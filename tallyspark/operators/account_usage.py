@@ -502,11 +502,10 @@ def query_attributed_cost(tables: Tables, n: int | None = None, p: Prices = Pric
 
 
 def expensive_query_patterns(tables: Tables, n: int | None = None) -> DataFrame:
-    per = tables["query_history"].where(
-        (F.col("execution_status") == "SUCCESS") & F.col("query_hash").isNotNull()
-    ).groupBy(F.col("query_hash").alias("object_name")).agg(
-        F.count("*").alias("queries"), F.sum("bytes_scanned").alias("_b"),
-        F.sum("bytes_spilled_to_remote_storage").alias("_r"), F.max("total_elapsed_time").alias("_e"),
+    rows = tables["query_history"].where((F.col("execution_status") == "SUCCESS") & F.col("query_hash").isNotNull())
+    per = rows.groupBy(F.col("query_hash").alias("object_name")).agg(
+        F.count("*").alias("queries"), F.sum(wide(rows, "bytes_scanned")).alias("_b"),
+        F.sum(wide(rows, "bytes_spilled_to_remote_storage")).alias("_r"), F.max("total_elapsed_time").alias("_e"),
         F.min("warehouse_name").alias("warehouse"))
     heavy = (F.col("queries") >= 3) & ((F.col("_b") > _TB) | (F.col("_r") > 0) | (F.col("_e") > 300_000))
     return top_rows(per.where(heavy), n, F.col("_b").desc(), F.col("object_name")).select(

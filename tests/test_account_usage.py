@@ -23,3 +23,8 @@ def test_a20_bytes_of_a_warehouse_add_up_past_a_bigint(spark, history):
     # Attributed twice: each query's bytes count twice.
     row = au.warehouse_cost_efficiency({"query_history": history, "query_attribution_history": credits.unionAll(credits)}).first()
     assert row["scanned_tb"] == round(12 * HUGE / _TB, 2) and row["spilled_gb"] == round(24 * HUGE / 1024.0**3, 2)
+
+
+def test_a22_bytes_of_a_query_pattern_add_up_past_a_bigint(history):
+    row = au.expensive_query_patterns({"query_history": history}).first()
+    assert row["tb_scanned"] == round(6 * HUGE / _TB, 2) and row["gb_remote_spill"] == round(6 * HUGE / 1024.0**3, 2)
