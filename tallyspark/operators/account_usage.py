@@ -658,7 +658,8 @@ def snowpipe_cost(tables: Tables, p: Prices = Prices()) -> DataFrame:
 
 def data_transfer_drivers(tables: Tables) -> DataFrame:
     keys = ["transfer_type", "source_cloud", "source_region", "target_cloud", "target_region"]
-    per = tables["data_transfer_history"].groupBy(*keys).agg(F.sum("bytes_transferred").alias("_b"))
+    rows = tables["data_transfer_history"]
+    per = rows.groupBy(*keys).agg(F.sum(wide(rows, "bytes_transferred")).alias("_b"))
     name = F.concat("transfer_type", F.lit(":"), "source_cloud", F.lit("/"), "source_region", F.lit("->"),
                     "target_cloud", F.lit("/"), "target_region")
     return per.where(F.col("_b") > 0).select(

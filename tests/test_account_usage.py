@@ -28,3 +28,10 @@ def test_a20_bytes_of_a_warehouse_add_up_past_a_bigint(spark, history):
 def test_a22_bytes_of_a_query_pattern_add_up_past_a_bigint(history):
     row = au.expensive_query_patterns({"query_history": history}).first()
     assert row["tb_scanned"] == round(6 * HUGE / _TB, 2) and row["gb_remote_spill"] == round(6 * HUGE / 1024.0**3, 2)
+
+
+def test_a31_bytes_of_a_transfer_route_add_up_past_a_bigint(spark):
+    rows = spark.createDataFrame(
+        [("COPY", "AWS", "r1", "GCP", "r2", HUGE)] * 3,
+        "transfer_type string, source_cloud string, source_region string, target_cloud string, target_region string, bytes_transferred bigint")
+    assert au.data_transfer_drivers({"data_transfer_history": rows}).first()["tb_transferred"] == round(3 * HUGE / _TB, 3)
