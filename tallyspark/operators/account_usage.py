@@ -516,10 +516,10 @@ def expensive_query_patterns(tables: Tables, n: int | None = None) -> DataFrame:
 
 def cache_reuse_opportunity(tables: Tables, n: int | None = None) -> DataFrame:
     shape = F.coalesce("query_parameterized_hash", "query_hash")
-    per = tables["query_history"].where(
-        (F.col("execution_status") == "SUCCESS") & (F.col("query_type") == "SELECT") & shape.isNotNull()
-    ).groupBy(shape.alias("object_name")).agg(
-        F.count("*").alias("queries"), F.sum("bytes_scanned").alias("_b"),
+    rows = tables["query_history"].where(
+        (F.col("execution_status") == "SUCCESS") & (F.col("query_type") == "SELECT") & shape.isNotNull())
+    per = rows.groupBy(shape.alias("object_name")).agg(
+        F.count("*").alias("queries"), F.sum(wide(rows, "bytes_scanned")).alias("_b"),
         F.avg(F.coalesce("percentage_scanned_from_cache", F.lit(0.0))).alias("_c"),
         F.countDistinct("warehouse_name").alias("warehouses"))
     weak = (F.col("queries") >= 5) & (F.col("_c") < 40)

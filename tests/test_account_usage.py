@@ -30,6 +30,10 @@ def test_a22_bytes_of_a_query_pattern_add_up_past_a_bigint(history):
     assert row["tb_scanned"] == round(6 * HUGE / _TB, 2) and row["gb_remote_spill"] == round(6 * HUGE / 1024.0**3, 2)
 
 
+def test_a23_bytes_of_a_query_shape_add_up_past_a_bigint(history):
+    assert au.cache_reuse_opportunity({"query_history": history}).first()["tb_scanned"] == round(6 * HUGE / _TB, 2)
+
+
 def test_a31_bytes_of_a_transfer_route_add_up_past_a_bigint(spark):
     rows = spark.createDataFrame(
         [("COPY", "AWS", "r1", "GCP", "r2", HUGE)] * 3,
