@@ -583,7 +583,9 @@ def policy_record(
     t = {**DEFAULT_THRESHOLDS, **(thresholds or {})}
     keep = ["provider_name", "charge_month", "entity_type", "entity_id", "entity_name",
             "owner_user", "owner_project"]
-    from_records = _fire(records, keep, [_policy_entry(r, t) for r in POLICY_RULES])
+    # Kinds without a policy are left out before their causes are unpacked.
+    governed = records.where(F.col(_ENTITY).isin(*sorted({r.entity_type for r in POLICY_RULES})))
+    from_records = _fire(governed, keep, [_policy_entry(r, t) for r in POLICY_RULES])
     clusters = snapshots.select(
         "*", F.lit(None).cast("string").alias("owner_user"),
         F.lit(None).cast("string").alias("owner_project"),

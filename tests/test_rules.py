@@ -119,3 +119,19 @@ def test_policy_statuses(spark, entities):
     assert rows[("e0", "auto_terminate")] == "non_compliant" and rows[("e0", "cluster_tagging")] == "non_compliant"
     assert rows[("e1", "warehouse_auto_stop")] == "not_applicable"
     assert rows[("c", "redshift_public_access")] == "not_applicable" and rows[("c", "redshift_snapshot_retention")] == "compliant"
+
+
+def _filtered_before_unpacking(df):
+    """Whether a filter on the kind of entity stands at or below every parse of the causes in the plan."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    parses = [i for i, line in enumerate(plan) if "from_json" in line]
+    filters = [i for i, line in enumerate(plan) if "Filter" in line and "interactive" in line]
+    return bool(parses and filters) and max(parses) <= max(filters)
+
+
+def test_kinds_without_a_policy_are_not_unpacked(spark, entities):
+    df = entities({"entity_type": "interactive", "cause": {"tag_count": 1}}, {"entity_type": "job", "cause": {"tag_count": 1}}, {"entity_type": None})
+    snapshots = schemas.empty(spark, schemas.POLICY_CONFIG)
+    found = rules.policy_record(df, snapshots)
+    assert {r["entity_id"] for r in found.collect()} == {"e0"}
+    assert _filtered_before_unpacking(found)
