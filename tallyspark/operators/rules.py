@@ -458,6 +458,9 @@ def waste_record(
             F.when(flag, "high").otherwise("candidate").alias("confidence"))))
     keep = ["provider_name", "charge_month", "entity_type", "entity_id", "entity_name",
             "owner_user", "owner_project", "billed_cost"]
+    if len(rules) == 1:
+        # A rule alone is a filter: its parts on plain columns are applied before the causes are unpacked.
+        records = records.where(rules[0].applies(t))
     return _fire(records, keep, entries)
 
 

@@ -129,6 +129,16 @@ def _filtered_before_unpacking(df):
     return bool(parses and filters) and max(parses) <= max(filters)
 
 
+def test_a_rule_alone_filters_records_before_their_causes_are_unpacked(entities):
+    rule = next(r for r in rules.WASTE_RULES if r.category == "autoscale_misconfigured")
+    cause = {"min_autoscale_workers": 1, "max_autoscale_workers": 9}
+    df = entities({"entity_type": "interactive", "utilization_pct": 10.0, "cause": cause}, {"entity_type": "interactive", "utilization_pct": 10.0},
+                  {"utilization_pct": 10.0, "cause": cause}, {"entity_type": "interactive", "utilization_pct": None, "cause": cause})
+    found = rules.waste_record(df, rules=(rule,))
+    assert [r["entity_id"] for r in found.collect()] == ["e0"]
+    assert _filtered_before_unpacking(found)
+
+
 def test_kinds_without_a_policy_are_not_unpacked(spark, entities):
     df = entities({"entity_type": "interactive", "cause": {"tag_count": 1}}, {"entity_type": "job", "cause": {"tag_count": 1}}, {"entity_type": None})
     snapshots = schemas.empty(spark, schemas.POLICY_CONFIG)
