@@ -282,13 +282,14 @@ def _q6(s, f):
 
 
 # --- GOLD build graph -----------------------------------------------------------------------------------
-def gold_graph(s, f):
-    """The silver bill as one shared node with the columns of every spend view, and every spend view on it."""
+def gold_graph(s, f, wanted=None):
+    """The silver bill as one shared node with the columns that the wanted spend views (all without a choice) read,
+    and every spend view on it. Only wanted views can be built."""
     from tallyspark.plans import gold
     from tallyspark.plans.spend_queries import VIEWS
     from tallyspark.plans.spend_queries import bill as silver_bill
 
-    columns = sorted({c for _, needed in VIEWS.values() for c in needed})
+    columns = sorted({c for name, (_, needed) in VIEWS.items() if wanted is None or name.split("_", 1)[1] in wanted for c in needed})
     nodes = [gold.Node("silver_bill", lambda: silver_bill(s, f, *columns))]
     for name, (view, _) in VIEWS.items():
         nodes.append(gold.Node(name.split("_", 1)[1], view, ("silver_bill",), gold.BY_PROVIDER))
@@ -300,7 +301,7 @@ def _read_back(s, f, view):
     from tallyspark.plans import gold
 
     root = work_folder(s, "gold-graph")
-    nodes = gold_graph(s, f)
+    nodes = gold_graph(s, f, [view])
     built = gold.build(nodes, [view])
     produced = gold.publish(s, root, nodes, [view], built)
     schema = built[view].schema
