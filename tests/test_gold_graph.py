@@ -51,7 +51,8 @@ def test_shared_node_is_stored_once_and_every_view_is_published(spark, tmp_path)
 
 
 @pytest.mark.parametrize("view, tables, unread", [
-    ("spend_by_service_month", (), "tags"), ("sku_month_over_month", ("part",), "invoice_id"), ("invoice_reconciliation_month", ("customer", "orders"), "tags")])
+    ("spend_by_service_month", (), "tags"), ("sku_month_over_month", ("part",), "invoice_id"),
+    ("invoice_reconciliation_month", ("customer", "orders"), "tags"), ("resource_month", ("customer", "orders", "part", "supplier", "nation"), "tags")])
 def test_a_view_alone_stores_only_the_bill_columns_it_reads(spark, tmp_path, view, tables, unread):
     import datetime as dt
 
