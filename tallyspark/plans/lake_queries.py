@@ -289,8 +289,15 @@ def gold_graph(s, f, wanted=None):
     from tallyspark.plans.spend_queries import VIEWS
     from tallyspark.plans.spend_queries import bill as silver_bill
 
-    columns = sorted({c for name, (_, needed) in VIEWS.items() if wanted is None or name.split("_", 1)[1] in wanted for c in needed})
-    nodes = [gold.Node("silver_bill", lambda: silver_bill(s, f, *columns))]
+    def silver():
+        # Every table is joined whichever columns are stored: a key that repeats in one repeats its bill lines in all views.
+        whole = silver_bill(s, f, *sorted({c for _, needed in VIEWS.values() for c in needed}))
+        if wanted is None:
+            return whole
+        read = {c for name, (_, needed) in VIEWS.items() if name.split("_", 1)[1] in wanted for c in needed}
+        return whole.select(*silver_bill(s, f, *sorted(read)).columns)
+
+    nodes = [gold.Node("silver_bill", silver)]
     for name, (view, _) in VIEWS.items():
         nodes.append(gold.Node(name.split("_", 1)[1], view, ("silver_bill",), gold.BY_PROVIDER))
     return nodes
