@@ -13,6 +13,7 @@ from tallyspark.plans import telemetry_queries as tel
 from tallyspark.plans.account_usage_queries import DAY
 from tallyspark.plans.registry import query
 from tallyspark.plans.spend_queries import VIEWS, bill
+from tallyspark.sinks.files import stored
 from tallyspark.sources import account_usage_tables as au_src
 from tallyspark.sources import driver_tables as dt
 
@@ -136,7 +137,8 @@ def _w40_all(s, f):
 @query("d25_first_seen_context")
 def _d25(s, f):
     records = planes.entities(s, f)
-    found = rules.waste_record(records)
+    # The best findings and the first sightings read the same findings: write them once.
+    found = stored(rules.waste_record(records), "findings")
     best = ac.best_action_per_entity(found).select("charge_month", "entity_type", "entity_id", "lens", "potential_savings")
     return ac.first_seen_context(best, efficiency.waste_resolution_month(found, records))
 
