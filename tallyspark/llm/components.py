@@ -30,9 +30,10 @@ def star_components(edges: DataFrame) -> DataFrame:
             handed.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small-star")
         # Done when every node but the smallest of its component has one edge, to a node that has none upwards.
-        tops = now.select("v").distinct()
-        ends = now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).join(tops, F.col("u") == F.col("v"), "left")
-        if ends.where("n > 1 or v is not null").isEmpty():
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("top")).unionByName(
+            now.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("top")))
+        counted = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.max("top").alias("top"))
+        if counted.where("ups > 1 or ups = 1 and top = 1").isEmpty():
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -129,13 +129,11 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
 def _may_reach(percent: int) -> Column:
     """What a join of a node with a pivot can tell from their counts and, if they have equally many, their bits."""
     def reaches(both: Column) -> Column:
-        return 100 * both >= percent * (F.col("n") + F.col("pivot_n") - both)
+        return (100 + percent) * both >= percent * (F.col("n") + F.col("pivot_n"))
 
-    def alone(a: str, b: str) -> Column:
-        bits = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
-        return F.aggregate(bits, F.lit(0), lambda total, x: total + x)
-
-    shared = F.least(F.col("n") - alone("bits", "pivot_bits"), F.col("pivot_n") - alone("pivot_bits", "bits"))
+    # Bits that both have; every other bit of a set is an item that the other lacks.
+    both = F.aggregate(F.zip_with("bits", "pivot_bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda total, x: total + x)
+    shared = both + F.least(F.col("n") - F.col("ones"), F.col("pivot_n") - F.col("pivot_ones"))
     return reaches(F.least("common", "pivot_common")) & (
         (F.array_size("bits") != F.array_size("pivot_bits")) | reaches(shared))
 
@@ -156,7 +154,7 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared_sizes(sets: DataFrame) -> DataFrame:
-    """(node, n, bits, common): how many items of each set another of the sets has too."""
+    """(node, n, bits, ones, common): the bits set, and how many items of each set another of the sets has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +164,9 @@ def _shared_sizes(sets: DataFrame) -> DataFrame:
 
     single = sets.select("node", "items").mapInArrow(run, "node long, item long").groupBy("item").agg(
         F.count(F.lit(1)).alias("sets"), F.min("node").alias("node")).where("sets = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    return sets.select("node", "n", "bits").join(single, "node", "left").select("node", "n", "bits", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    return sets.select("node", "n", "bits").join(single, "node", "left").select(
+        "node", "n", "bits", F.aggregate("bits", F.lit(0), lambda total, x: total + F.bit_count(x)).alias("ones"),
+        (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,14 +246,14 @@ def near_duplicates(
     pivots_each = 8
     while True:
         # All but the component with most nodes have to be compared; what stays undecided is one component.
-        left = stored(undecided(labels, left).select("key", "node", "n", "bits", "common", "label"), "near-left")
+        left = stored(undecided(labels, left).select("key", "node", "n", "bits", "ones", "common", "label"), "near-left")
         main = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(
             F.max(F.struct("size", "label")).alias("most"))
         order = Window.partitionBy("key").orderBy("node")
         chosen = stored(
             left.join(main, "key").where("label <> most.label").withColumn("nth", F.row_number().over(order))
             .where(F.col("nth") <= pivots_each).select(
-                "key", *(F.col(c).alias(f"pivot_{c}") for c in ("n", "bits", "common", "label")), F.col("node").alias("pivot")), "near-pivots")
+                "key", *(F.col(c).alias(f"pivot_{c}") for c in ("n", "bits", "ones", "common", "label")), F.col("node").alias("pivot")), "near-pivots")
         if chosen.isEmpty():
             break
         met = (left["key"] == chosen["key"]) & (F.col("label") != F.col("pivot_label")) & _may_reach(percent)
