@@ -19,6 +19,8 @@ from tallyspark.operators.mapping import assert_single_currency, dedupe_exact
 from tallyspark.sinks.files import Folder, complete_swap, swap
 
 BILL_KEYS = ["x_source_connector", "charge_month"]
+# Hashes of repeated keys that a broadcast may hold: 8 MB of numbers.
+MOST_REPEATS = 2**20
 
 
 def months_between(start: str, end: str) -> list[str]:
@@ -36,6 +38,35 @@ def _stage(df: DataFrame, root: str, keys: list[str]) -> str:
     return staging
 
 
+def _stage_bill(spark: SparkSession, folder: Folder, rows: DataFrame) -> str:
+    """Write bill rows beside the table, one per dedupe key; whole rows move between tasks only where their key repeats.
+
+    Every task writes its rows straight to their months, so *rows* is evaluated once. Only a hash per key is then shuffled
+    to find the repeated ones. Without repeats the staged files are the result; otherwise they are written once more, where
+    rows of a repeated hash meet by key and all others pass. More repeats than a broadcast may hold shuffle every row.
+    """
+    staging = f"{folder.root}/_staging/{uuid.uuid4().hex}"
+    rows.write.partitionBy(*BILL_KEYS).option("compression", "zstd").parquet(staging)
+    staged = spark.read.schema(rows.schema).parquet(staging)
+    key = F.xxhash64("dedupe_key")
+    found = staged.groupBy(key.alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_key")
+    found.write.parquet(f"{staging}/_repeated")
+    repeated = spark.read.schema(found.schema).parquet(f"{staging}/_repeated")
+    n = repeated.count()
+    if n == 0:
+        return staging
+    if n > MOST_REPEATS:
+        once = dedupe_exact(staged)
+    else:
+        # A hash is never null, so a row is either in or out of the repeated ones.
+        keyed, names = staged.withColumn("_key", key), F.broadcast(repeated)
+        once = keyed.join(names, "_key", "left_anti").unionByName(dedupe_exact(keyed.join(names, "_key", "left_semi"))).drop("_key")
+    again = f"{folder.root}/_staging/{uuid.uuid4().hex}"
+    once.write.partitionBy(*BILL_KEYS).option("compression", "zstd").parquet(again)
+    folder.remove(staging)
+    return again
+
+
 def write_bill_window(
     spark: SparkSession, root: str, connector: str, start: str, end: str, rows: DataFrame,
     base_currency: str = "USD",
@@ -49,8 +80,8 @@ def write_bill_window(
     folder = Folder(spark, root)
     complete_swap(spark, root)
     months = months_between(start, end)
-    scoped = dedupe_exact(rows.where((F.col("x_source_connector") == connector) & F.col("charge_month").isin(*months)))
-    staging = _stage(scoped, root, BILL_KEYS)
+    scoped = rows.where((F.col("x_source_connector") == connector) & F.col("charge_month").isin(*months))
+    staging = _stage_bill(spark, folder, scoped)
     target = f"{root.rstrip('/')}/x_source_connector={connector}"
     staged = f"{staging}/x_source_connector={connector}"
     fresh = folder.partitions(staged, "charge_month")

@@ -259,3 +259,24 @@ def test_account_usage_months_with_other_types_are_widened(spark, tmp_path):
     assert (types["credits"], types["note"], types["id"]) == ("double", "string", "bigint")
     assert sorted((r["credits"], r["note"], r["id"]) for r in rows.collect()) == [(1.0, "x", 2), (2.5, "7", 3)]
     assert scans.scan_account_usage(spark, root, "missing") is None
+
+
+@pytest.mark.parametrize("most", [2**20, 0])
+def test_only_rows_of_repeated_keys_are_gathered(spark, root, bill_rows, monkeypatch, most):
+    """Rows with a key of their own reach their month's files where they are; null keys are one key, as for dropDuplicates."""
+    gathered, real = [], lake.dedupe_exact
+
+    def seen(rows):
+        gathered.append(sorted(str(r["dedupe_key"]) for r in rows.select("dedupe_key").collect()))
+        return real(rows)
+
+    monkeypatch.setattr(lake, "dedupe_exact", seen)
+    monkeypatch.setattr(lake, "MOST_REPEATS", most, raising=False)
+    lake.write_bill_window(spark, root, "aws", "2024-04-01", "2024-05-31", bill_rows({"dedupe_key": "a"}, {"dedupe_key": "b"}, {"dedupe_key": None}))
+    assert gathered == []
+    assert sorted(str(r["dedupe_key"]) for r in _read(spark, root).collect()) == ["None", "a", "b"]
+    rows = bill_rows(*[{"dedupe_key": k} for k in ("a", "b", "b", "c", None, None)])
+    lake.write_bill_window(spark, root, "aws", "2024-04-01", "2024-05-31", rows)
+    assert gathered == [["None", "None", "b", "b"] if most else ["None", "None", "a", "b", "b", "c"]]
+    assert sorted(str(r["dedupe_key"]) for r in _read(spark, root).collect()) == ["None", "a", "b", "c"]
+    assert Folder(spark, root).children(f"{root}/_staging") == []
