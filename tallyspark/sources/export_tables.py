@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from tallyspark.sources import driver_tables as dt
 
 _FROM_BILL = dt.bill_select([
@@ -62,3 +64,10 @@ SELECT 'cat-' || CAST(s_suppkey AS STRING) AS name, CASE s_suppkey % 5 WHEN 0 TH
     "uc_external": """
 SELECT 'ext-' || CAST(s_suppkey AS STRING) AS name, 'https://x/' || CAST(s_suppkey AS STRING) AS url, s_suppkey % 2 = 0 AS read_only, 'cred' AS credential_name FROM supplier""",
 })
+
+
+def focus_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plane `focus_export`; its bill lines are derived in short methods, the text around them is the plane's own."""
+    lines = dt.in_short_methods(dt.select(spark, sf_dir, _FROM_BILL), "service_name")
+    before, *between, after = _EXPORT.replace("{", "{{").replace("}", "}}").split("(" + _FROM_BILL.replace("{", "{{").replace("}", "}}") + ")")
+    return spark.sql("{lines}".join([before, *between, after]), lines=lines)
