@@ -55,9 +55,14 @@ def _bill_key():
     return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns])), 256)
 
 
+def _keyed_bill(s, f):
+    """The bill with its key. Its rules are derived outside the loop of the joins, which the JVM would not compile with them."""
+    return dt.in_short_methods(dt.bill(s, f), "service_name").withColumn("dedupe_key", _bill_key())
+
+
 def _bronze(s, f, connectors=("aws", "databricks", "snowflake")):
     root = work_folder(s, "bill")
-    rows = dt.bill(s, f).withColumn("dedupe_key", _bill_key())
+    rows = _keyed_bill(s, f)
     # Each connector and the replay below read the same rows: write them once.
     staged = f"{root}-source"
     rows.write.parquet(staged)

@@ -2,6 +2,7 @@
 
 import re
 
+from tallyspark.plans import lake_queries
 from tallyspark.sources import driver_tables as dt
 from tallyspark.sources import export_tables
 
@@ -36,3 +37,18 @@ def test_export_is_derived_by_short_methods_and_keeps_its_rows(spark, tmp_path):
         assert sorted(map(str, short.collect())) == sorted(map(str, plain.collect())) and plain.count() == 2
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_keyed_bill_is_derived_by_short_methods_and_keeps_its_rows(spark, tmp_path):
+    for name, sql in TABLES.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plain = dt.bill(spark, str(tmp_path)).withColumn("dedupe_key", lake_queries._bill_key())
+        short = lake_queries._keyed_bill(spark, str(tmp_path))
+        assert _longest(spark, plain) > LONGEST > _longest(spark, short)
+        assert short.columns == plain.columns
+        assert short.collect() == plain.collect() and plain.count() == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
