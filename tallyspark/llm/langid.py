@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.common import small
 from tallyspark.llm.hashing import mix
 
 UNDETERMINED = "und"
@@ -108,7 +109,7 @@ def _document_counts(texts: DataFrame, grams: NGrams) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = np.zeros(1 << grams.bits, np.int64), 0
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 found += grams.counts(text or "") > 0
                 n += 1
@@ -204,7 +205,7 @@ def fit(
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = pa.int16() if bits <= 15 else pa.int32()
-        for batch in batches:
+        for batch in small(batches):
             pairs = [_weighed(grams.counts(t), idf) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column("lang"), batch.column("point"), batch.column("tie"),
@@ -237,7 +238,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tupl
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             said = [shared.value.predict(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64()), *batch.columns[1:]],

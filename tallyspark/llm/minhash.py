@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyspark.llm.common import stored, with_row
+from tallyspark.llm.common import small, stored, with_row
 from tallyspark.llm.components import star_components
 from tallyspark.llm.hashing import mix, shingle_set
 
@@ -70,7 +70,7 @@ def _signatures(rows: DataFrame, words: int, bands: int, band_rows: int) -> Data
     sketcher = Sketcher(bands * band_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             size, digest, keys = [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingle_set((text or "").encode("utf-8"), words)
@@ -113,7 +113,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     """The whole shingle set of each (node, text), and its bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [shingle_set((t or "").encode("utf-8"), words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_bits(x) for x in sets], pa.list_(pa.int64())),
@@ -142,7 +142,7 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose bits do not rule the similarity out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keep = []
             sizes = (batch.column(c).to_pylist() for c in ("n", "pivot_n"))
             for a, b, n, m in zip(_arrays(batch.column("bits")), _arrays(batch.column("pivot_bits")), *sizes, strict=True):
@@ -157,7 +157,7 @@ def _shared_sizes(sets: DataFrame) -> DataFrame:
     """(node, n, bits, ones, common): the bits set, and how many items of each set another of the sets has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for node, items in zip(batch.column("node").to_pylist(), batch.column("items").to_pylist(), strict=True):
                 own = np.frombuffer(items, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], ["node", "item"])
@@ -173,7 +173,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole sets reach the similarity, in whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keep = []
             for x, y in zip(batch.column("items").to_pylist(), batch.column("pivot_items").to_pylist(), strict=True):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

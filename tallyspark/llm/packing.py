@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyspark.llm.common import stored
+from tallyspark.llm.common import small, stored
 from tallyspark.llm.vocab import BYTE_LEVEL_POSSESSIVE, byte_letters, is_newer, load
 
 
@@ -67,7 +67,7 @@ def cut_pieces(
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             rows: list[int] = []
             columns: list[list] = [[] for _ in range(6)]
             for row, text in enumerate(batch.column(1).to_pylist()):

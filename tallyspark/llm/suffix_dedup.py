@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import stored, text_of, with_row
+from tallyspark.llm.common import small, stored, text_of, with_row
 from tallyspark.llm.hashing import mix, prefix_sums, span_hashes
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -109,7 +109,7 @@ def _buffers(texts: list[str], length: int) -> Iterator[tuple[np.ndarray, np.nda
 
 def _anchored(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             numbers = batch.column(0).to_numpy()
             for data, ends, first, base in _buffers(batch.column(1).to_pylist(), length):
                 anchor, lo, hi, last, n, core, whole = sampled_cells(data, ends, length)
@@ -128,7 +128,7 @@ def _contexts(rows: DataFrame, cells: DataFrame, length: int) -> DataFrame:
     lists = cells.groupBy("_row").agg(F.collect_list(F.struct("anchor", "lo", "hi", "own")).alias("cells"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in range(6)]
             for row, text, own in zip(*(batch.column(c).to_pylist() for c in ("_row", "text", "cells")), strict=True):
                 data = text.encode("utf-8")
@@ -162,7 +162,7 @@ def _cut_cells(contexts: DataFrame, length: int) -> DataFrame:
     that a full cell would have (core) and that of all bytes of the windows it has (whole)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for part, buckets, _, shift in _joined(batch, length):
                 anchor, lo, hi = (part.column(c).to_numpy().astype(np.int64) for c in ("anchor", "lo", "hi"))
                 first, final = (anchor - hi) // CELL, (anchor - lo) // CELL
@@ -189,7 +189,7 @@ def _cut_windows(contexts: DataFrame, length: int) -> DataFrame:
     """Every window of the cells with 128 bits of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for part, buckets, _, shift in _joined(batch, length):
                 lo, hi = (part.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
                 times = hi - lo + 1
@@ -298,7 +298,7 @@ def remove_repeats(
         F.collect_list(F.struct("lo", "last")).alias("_runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in range(5)]
             for text, runs in zip(batch.column("text").to_pylist(), batch.column("_runs").to_pylist(), strict=True):
                 data = text.encode("utf-8")
