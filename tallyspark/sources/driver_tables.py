@@ -11,6 +11,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspark.operators.frame import in_short_methods  # noqa: F401
+
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 # A "now" inside the data, so partial-period flags are stable.
@@ -158,6 +160,12 @@ _BILL_JOINS = {
 }
 
 
+# The customer joins of the bill with orders and customers joined first. Both joins keep their left rows and each names only its own right
+# table, so the rows are the same; between tasks, narrow orders move to their customers instead of bill lines with all their columns.
+_ORDERS_FIRST = (
+    "LEFT JOIN (SELECT * FROM orders LEFT JOIN customer ON c_custkey = o_custkey) AS ordered ON o_orderkey = l_orderkey")
+
+
 def bill_select(columns: Iterable[str] | None = None) -> str:
     """The bill plane, joining only the tables its requested columns come from."""
     wanted = list(_BILL_RULES) if columns is None else [c for c in _BILL_RULES if c in set(columns)]
@@ -390,6 +398,9 @@ def select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for name in referenced(sql, PLANES):
         bound[name] = plane(spark, sf_dir, name)
     text = sql
+    if _BILL_JOINS["customer"] in text and _moves(bound["orders"], "o_orderkey", "o_custkey") and _moves(
+            bound["customer"], "c_custkey", "c_nationkey", "c_mktsegment"):
+        text = text.replace(_BILL_JOINS["customer"], _ORDERS_FIRST)
     aliases = "|".join(sorted(bound, key=len, reverse=True))
     if aliases:
         text = text.replace("{", "{{").replace("}", "}}")
@@ -397,19 +408,14 @@ def select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(text, **bound) if bound else spark.sql(text)
 
 
-def plane(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return select(spark, sf_dir, PLANES[name])
-
-
-def in_short_methods(df: DataFrame, column: str) -> DataFrame:
-    """The same rows; the projection that derives them is compiled as many short methods.
+def _moves(rows: DataFrame, *columns: str) -> bool:
+    """Whether a join with these columns moves both sides between tasks, being too large for Spark to broadcast."""
+    size = rows.select(*columns)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) > rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
-    The rules of a wide plane, fused with its scan and joins, make one generated loop of more than the 8,000 bytes that the
-    JVM compiles, and it is interpreted for every row. A lambda keeps the projection out of that loop.
-    """
-    from pyspark.sql import functions as F
 
-    return df.withColumn(column, F.transform(F.array(column), lambda v: v).getItem(0))
+def plane(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return select(spark, sf_dir, PLANES[name])
 
 
 def bill(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspark.sources import driver_tables as dt
 
@@ -67,7 +68,12 @@ SELECT 'ext-' || CAST(s_suppkey AS STRING) AS name, 'https://x/' || CAST(s_suppk
 
 
 def focus_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plane `focus_export`; its bill lines are derived in short methods, the text around them is the plane's own."""
+    """The plane `focus_export`; its bill lines are derived once, in short methods, the text around them is the plane's own.
+
+    A line that the plane's second reading of the bill gives again is repeated where it is, so the joins under it run once.
+    """
     lines = dt.in_short_methods(dt.select(spark, sf_dir, _FROM_BILL), "service_name")
-    before, *between, after = _EXPORT.replace("{", "{{").replace("}", "}}").split("(" + _FROM_BILL.replace("{", "{{").replace("}", "}}") + ")")
-    return spark.sql("{lines}".join([before, *between, after]), lines=lines)
+    times = F.when(F.col("charge_category") == "Adjustment", F.lit(2)).otherwise(F.lit(1))
+    delivered = lines.withColumn("_times", F.explode(F.array_repeat(F.lit(0), times))).drop("_times")
+    columns = _EXPORT[: _EXPORT.index(f"FROM (SELECT * FROM ({_FROM_BILL})")].replace("{", "{{").replace("}", "}}")
+    return spark.sql(columns + "FROM {delivered} AS b", delivered=delivered)
