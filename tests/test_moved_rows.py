@@ -74,3 +74,12 @@ def test_export_keys_are_grouped_as_bytes(spark, tables, no_broadcast):
     assert "unhex(" in _plan(keys) and "Exchange hashpartitioning(dedupe_key" not in _plan(keys)
     want = mapping_queries._count(mapping.stringify_columns(export_tables.focus_export(spark, tables)), mapping.dedupe_key("exporter").alias("dedupe_key"))
     assert _rows(keys) == _rows(want) and keys.dtypes == want.dtypes
+
+
+def test_bill_is_stored_once(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(lake_queries, "work_folder", lambda s, name: str(tmp_path / "work" / name))
+    root, source = lake_queries._bronze(spark, tables)
+    assert [p.name for p in (tmp_path / "work").iterdir()] == ["bill"]
+    stored = lake_queries.scans.scan_bronze_bill(spark, root)
+    keyed = [r["dedupe_key"] for r in source.collect() if r["x_source_connector"]]
+    assert sorted(r["dedupe_key"] for r in stored.collect()) == sorted(set(keyed))
