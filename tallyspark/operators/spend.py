@@ -98,13 +98,25 @@ def spend_by_cost_subcategory_month(bill: DataFrame) -> DataFrame:
     )
 
 
-def resource_month(bill: DataFrame) -> DataFrame:
+def _few_share(rows: DataFrame, keys: list[str]) -> bool:
+    """Whether fewer than two rows share a key on average."""
+    found = rows.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64(*keys)).alias("keys")).first()
+    return 2 * found["keys"] > found["rows"]
+
+
+def resource_month(bill: DataFrame, stored: bool = False) -> DataFrame:
+    """Charges of a resource. They are combined by (key, text) before they move, then move once more by key. Where few charges
+    share a key, that moves nearly all of them twice: they move to their key first and both steps follow there. A `stored` bill is
+    measured for that."""
+    keys = ["provider_name", "service_name", "compute_family", "sku_id", "resource_type", "resource_id",
+            "resource_name", "sub_account_id", "region_id", "charge_month"]
+    labelled = bill.select(
+        "provider_name", "service_name", labels.compute_family(F.col("service_name")).alias("compute_family"), _sku(), *_resource_labels(),
+        "charge_month", "charge_description", "consumed_unit", "cost", "is_credit", "is_partial_period", "consumed_quantity")
+    if stored and _few_share(labelled, keys):
+        labelled = labelled.repartition(*keys)
     return _described(
-        bill, ["provider_name", "service_name", "compute_family", "sku_id", "resource_type", "resource_id",
-               "resource_name", "sub_account_id", "region_id", "charge_month"],
-        ["provider_name", "service_name",
-         labels.compute_family(F.col("service_name")).alias("compute_family"), _sku(), *_resource_labels(), "charge_month"],
-        [_net(), _gross(), F.sum("consumed_quantity").alias("consumed_quantity")], unit=True)
+        labelled, keys, keys, [_net(), _gross(), F.sum("consumed_quantity").alias("consumed_quantity")], unit=True)
 
 
 def redshift_cluster_cost_month(bill: DataFrame) -> DataFrame:

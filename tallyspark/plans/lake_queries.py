@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tallyspark import schemas
@@ -301,6 +303,8 @@ def gold_graph(s, f, wanted=None):
 
     nodes = [gold.Node("silver_bill", silver)]
     for name, (view, _) in VIEWS.items():
+        if view is spend.resource_month:
+            view = functools.partial(view, stored=True)
         nodes.append(gold.Node(name.split("_", 1)[1], view, ("silver_bill",), gold.BY_PROVIDER))
     return nodes
 

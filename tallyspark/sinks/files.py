@@ -89,7 +89,7 @@ def work_folder(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The frame written once to a fresh folder of `work_folder` and read back: later steps share it and survive lost executors."""
     path = work_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

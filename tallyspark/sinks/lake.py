@@ -268,8 +268,10 @@ def publish_gold(
             path = f"{staging}/by_provider/{name}"
             named = view.where(F.trim(F.coalesce("provider_name", F.lit(""))) != "")
             rows = named.withColumn("provider_group", provider_group(F.col("provider_name")))
-            _one_name_per_group(rows)
-            rows.hint("rebalance", "provider_group").write.option("compression", "zstd").partitionBy("provider_group").parquet(path)
+            # Tasks write to their groups themselves; names are checked in what is staged, so a view is derived and moved once.
+            rows.write.option("compression", "zstd").partitionBy("provider_group").parquet(path)
+            staged = spark.read.schema(rows.select("provider_name").schema).parquet(path).select("provider_name")
+            _one_name_per_group(staged.withColumn("provider_group", provider_group(F.col("provider_name"))))
             for group, part in folder.partitions(path, "provider_group").items():
                 produced[f"{group}/{name}"] = part
         for group, views in fixed_views.items():

@@ -83,3 +83,24 @@ def test_bill_is_stored_once(spark, tables, tmp_path, monkeypatch):
     stored = lake_queries.scans.scan_bronze_bill(spark, root)
     keyed = [r["dedupe_key"] for r in source.collect() if r["x_source_connector"]]
     assert sorted(r["dedupe_key"] for r in stored.collect()) == sorted(set(keyed))
+
+
+def test_resource_charges_move_once_where_few_share_a_key(spark, bill_rows, no_broadcast):
+    rows = bill_rows(*[{"resource_id": f"r{i // 2}", "cost": i, "charge_description": f"d{i % 3}", "sku_id": s} for i in range(8) for s in ("a", "b")][:13])
+    few = bill_rows(*[{"resource_id": f"r{i}", "cost": i, "charge_description": "d"} for i in range(8)])
+    for lines, exchanges in ((few, 1), (rows, 2)):
+        lines = silver.provider_bill(silver.focus_normalized(lines, "2024-05-11"))
+        view = spend.resource_month(lines, stored=True)
+        assert len(re.findall(r"Exchange hashpartitioning", _plan(view))) == exchanges
+        assert _rows(view) == _rows(spend.resource_month(lines))
+
+
+def test_published_view_is_not_moved_again(spark, tmp_path, monkeypatch):
+    view = spark.createDataFrame([("AWS", 1), ("Google Cloud", 2)], "provider_name string, v int")
+    hints, real = [], type(view).hint
+    monkeypatch.setattr(type(view), "hint", lambda self, *a: hints.append(a) or real(self, *a))
+    assert lake.publish_gold(spark, str(tmp_path / "gold"), {"v": view}, {}) == ["aws/v", "google_cloud/v"]
+    assert lake.publish_gold(spark, str(tmp_path / "none"), {"v": view.where("false")}, {}) == []
+    with pytest.raises(ValueError, match="share the group"):
+        lake.publish_gold(spark, str(tmp_path / "gold"), {"v": spark.createDataFrame([("--", 1)], view.schema)}, {})
+    assert hints == [] and spark.read.parquet(str(tmp_path / "gold/aws/v")).count() == 1
