@@ -76,6 +76,18 @@ def test_export_keys_are_grouped_as_bytes(spark, tables, no_broadcast):
     assert _rows(keys) == _rows(want) and keys.dtypes == want.dtypes
 
 
+def test_mapped_export_is_dealt_by_files(spark, tables, no_broadcast):
+    bronze = mapping.map_focus_to_bronze(export_tables.focus_export(spark, tables), "exporter", "run-1", by_files=True)
+    shuffled = mapping.map_focus_to_bronze(export_tables.focus_export(spark, tables), "exporter", "run-1")
+    assert "Exchange hashpartitioning(dedupe_key" in _plan(shuffled) and _rows(bronze.drop("x_ingested_at")) == _rows(shuffled.drop("x_ingested_at"))
+    assert "Exchange" not in _plan(bronze) and "x_ingested_at" in bronze.columns
+    again = [bronze.drop("x_ingested_at"), bronze.drop("x_ingested_at")]
+    assert _rows(again[0]) == _rows(again[1])
+    keys = [r[0] for r in bronze.select("dedupe_key").collect()]
+    assert sorted(keys) == sorted(r[0] for r in mapping_queries._m7(spark, tables).select("dedupe_key").collect())
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tallyspark_")]
+
+
 def test_bill_is_stored_once(spark, tables, tmp_path, monkeypatch):
     monkeypatch.setattr(lake_queries, "work_folder", lambda s, name: str(tmp_path / "work" / name))
     root, source = lake_queries._bronze(spark, tables)
