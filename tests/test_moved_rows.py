@@ -98,7 +98,7 @@ def test_bill_is_stored_once(spark, tables, tmp_path, monkeypatch):
 
 
 def test_resource_charges_move_once_where_few_share_a_key(spark, bill_rows, no_broadcast):
-    rows = bill_rows(*[{"resource_id": f"r{i // 2}", "cost": i, "charge_description": f"d{i % 3}", "sku_id": s} for i in range(8) for s in ("a", "b")][:13])
+    rows = bill_rows(*[{"resource_id": f"r{i // 4}", "cost": i, "charge_description": f"d{i % 3}", "sku_id": s} for i in range(8) for s in ("a", "b")][:13])
     few = bill_rows(*[{"resource_id": f"r{i}", "cost": i, "charge_description": "d"} for i in range(8)])
     for lines, exchanges in ((few, 1), (rows, 2)):
         lines = silver.provider_bill(silver.focus_normalized(lines, "2024-05-11"))
